@@ -200,8 +200,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | No
     ``percentile`` aggregate, no task holds all distinct values of a group.
     """
     by = list(by or [])
-    base = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    base = base.withColumn("_h", F.xxhash64(*[F.col(c) for c in df.columns]))
+    base = df.select(*by, F.col(col).cast("double").alias("_v"),
+                     F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h")).filter(F.col("_v").isNotNull())
     ix = global_index(base, [F.col("_v"), F.col("_h")], by)
     pos = lambda q: F.lit(float(q)) * (F.col("n_total") - 1)
     near = None

@@ -97,7 +97,7 @@ from (select *, round(1.0::double / (1.0::double + exp(-((p_retailprice - 1400.0
 CTE["delays"] = """
 select s.l_orderkey, s.l_partkey, s.l_suppkey, s.l_linenumber, cast(o.o_orderdate as date) as filing_dt,
   cast(s.l_shipdate as date) as publication_dt, s.prob, s.label,
-  datediff('day', cast(o.o_orderdate as date), cast(s.l_shipdate as date)) as delay
+  cast(datediff('day', cast(o.o_orderdate as date), cast(s.l_shipdate as date)) as integer) as delay
 from scored s join orders o on s.l_orderkey = o.o_orderkey"""
 
 
