@@ -61,17 +61,19 @@ def read_classes(spark: SparkSession, path: str, classes: list, col: str = "clas
 
 
 def read_runs(spark: SparkSession, path: str, pattern: str | None = None,
-              expect_n: int | None = None, run_col: str = "run") -> DataFrame:
-    """Load every run file under ``path`` whose name matches ``pattern``.
+              expect_n: int | None = None, run_col: str = "run", level: int = -1) -> DataFrame:
+    """Load every run file under ``path`` (a folder or a glob) whose file
+    name matches ``pattern``, as one table.
 
-    Adds the source file as ``run_col``. ``expect_n`` checks the row count
-    (one aggregate, Q1) and raises on a mismatch.
+    ``run_col`` names the run: the file name (``level=-1``) or its folder
+    (``level=-2``). ``expect_n`` checks the row count (one aggregate, Q1)
+    and raises on a mismatch.
     """
     reader = spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     df = reader.option("recursiveFileLookup", True).parquet(path)
-    df = df.withColumn(run_col, F.element_at(F.split(F.input_file_name(), "/"), -1))
+    df = df.withColumn(run_col, F.element_at(F.split(F.input_file_name(), "/"), level))
     if expect_n is not None:
         n = df.count()
         if n != expect_n:
