@@ -37,8 +37,8 @@ def cut(df: DataFrame, col: str, edges: list[float], prefix: str = "bin",
     lo_arr = F.array(*[F.lit(float(e)) for e in edges[:-1]])
     hi_arr = F.array(*[F.lit(float(e)) for e in edges[1:]])
     out = df.withColumn(prefix, expr)
-    return (out.withColumn(f"{prefix}_lo", F.element_at(lo_arr, F.col(prefix)))
-               .withColumn(f"{prefix}_hi", F.element_at(hi_arr, F.col(prefix))))
+    return (out.withColumn(f"{prefix}_lo", F.try_element_at(lo_arr, F.col(prefix)))
+               .withColumn(f"{prefix}_hi", F.try_element_at(hi_arr, F.col(prefix))))
 
 
 def quantile_edges(df: DataFrame, col: str, qs: list[float]) -> list[float]:

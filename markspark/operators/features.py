@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions.numeric import vec_columns, vec_sub
 from markspark.functions.text import tokens
+from markspark.operators.joins import maybe_broadcast
 
 
 def one_hot(df: DataFrame, col: str, prefix: str, values: list | None = None, drop: bool = True) -> DataFrame:
@@ -36,7 +37,8 @@ def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame
     Tokens without a vector are skipped; a text with none gets no row.
     """
     t = df.select(key, F.explode(tokens(F.lower(F.col(text)))).alias(token_col))
-    j = t.join(word_vectors.select(token_col, array_to_vector(F.col(vec_col)).alias("_v")), token_col)
+    wv = word_vectors.select(token_col, array_to_vector(F.col(vec_col)).alias("_v"))
+    j = t.join(maybe_broadcast(wv), token_col)
     g = j.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
     return g.select(key, vector_to_array(F.col("_m")).alias(out))
 

@@ -34,7 +34,7 @@ def planned_size(df: DataFrame) -> int | None:
     """Optimizer's size estimate of ``df`` in bytes (no job is run)."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(stats.sizeInBytes()))
     except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Connect)
         return None
 

@@ -134,7 +134,11 @@ def q_interval_counts(spark, sf):
 
 
 def _interval_sample(spark, sf, edges, n):
-    c = bucket.cut(clean.correct_only(ad.scored(spark, sf)), "prob", edges).filter(F.col("bin").isNotNull())
+    # bins are contiguous: "has a bin" is the outer range (a cheap predicate
+    # that the optimizer can push below the bin expression)
+    s = clean.correct_only(ad.scored(spark, sf))
+    s = s.filter((F.col("prob") > F.lit(float(edges[0]))) & (F.col("prob") <= F.lit(float(edges[-1]))))
+    c = bucket.cut(s, "prob", edges)
     s = sample.sample_per_group(c, ["bin"], n, SEED, KEY)
     return s.select(*KEY, "bin", round_even(F.col("prob"), 4).alias("prob"))
 

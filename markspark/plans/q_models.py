@@ -13,6 +13,7 @@ from markspark.plans.oracle import CLASS_CHAIN, CTE, with_
 from markspark.plans.q_cases import class_table
 from markspark.plans.registry import query
 from markspark.plans.sqlkit import r9, sr9
+from markspark.session import materialize
 from markspark.sources.tables import load
 
 # The language codes of the document table (one-hot columns).
@@ -125,7 +126,7 @@ GBT_ITER, GBT_DEPTH = 20, 5  # registered query sizes; the operator defaults are
 
 
 def _gbt(spark, sf):
-    f = features.assemble(feature_rows(spark, sf), ["doc_id", "label"])
+    f = materialize(features.assemble(feature_rows(spark, sf), ["doc_id", "label"]))
     train, test = _split(f, "doc_id")
     m = models.train_gbt(train, "features", "label", max_iter=GBT_ITER, max_depth=GBT_DEPTH)
     names = [c for c in f.columns if c not in ("doc_id", "label", "features")]
@@ -145,7 +146,7 @@ def q_split_importance(spark, sf):
 
 
 def _text_model(spark, sf, text_col="text"):
-    d = doc_base(spark, sf)
+    d = materialize(doc_base(spark, sf))
     train, test = _split(d, "doc_id")
     return models.train_text_classifier(train, text_col, "label", reg=0.01, max_iter=50), d, test
 
@@ -169,7 +170,7 @@ def ablations() -> dict:
 
 @query("ablation_report", "E18 F7 M5 E3 E5")
 def q_ablation_report(spark, sf):
-    d = doc_base(spark, sf)
+    d = materialize(doc_base(spark, sf))
     train, test = _split(d, "doc_id")
     parts = []
     for name, expr in ablations().items():
