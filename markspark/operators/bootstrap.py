@@ -74,7 +74,8 @@ def bootstrap(scored: DataFrame, key: list[str], rounds: int = 30, seed: int = 4
         return _round_metrics(w)
     if method != "exact":
         raise ValueError(f"unknown bootstrap method {method!r}")
-    ix = global_index(slim, [F.col(k) for k in key])
+    # the key orders the rows; the scored columns break any tie in the key
+    ix = global_index(slim, [F.col(k) for k in key] + [F.col("prob"), F.col("label"), F.col("pred")])
     n = ix.count()
     if n == 0:
         return scored.sparkSession.createDataFrame([], "round int, accuracy double, auc double, precision double, recall double, f1 double")

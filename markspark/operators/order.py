@@ -123,7 +123,7 @@ def decile_chart(scored: DataFrame, cuts: int = 10, prob: str = "prob", label: s
     acc/prec/recall in % (2 places) and f1 (0 places). 0/0 gives NULL."""
     from markspark.functions.numeric import pct, round_even
     key = key or ["row_id"]
-    slim = scored.select(prob, label, pred, *key)
+    slim = scored.select(*dict.fromkeys([prob, label, pred, *key]))
     ix = global_index(slim, [F.col(prob).desc(), *key])
     tiled = ix.withColumn("tile", ntile_of("idx", "n_total", cuts))
     lab, prd = F.col(label), F.col(pred)

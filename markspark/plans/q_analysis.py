@@ -139,7 +139,7 @@ def _interval_sample(spark, sf, edges, n):
     s = clean.correct_only(ad.scored(spark, sf))
     s = s.filter((F.col("prob") > F.lit(float(edges[0]))) & (F.col("prob") <= F.lit(float(edges[-1]))))
     c = bucket.cut(s, "prob", edges)
-    s = sample.sample_per_group(c, ["bin"], n, SEED, KEY)
+    s = sample.sample_per_group(c, ["bin"], n, SEED, KEY, tie=["prob"])
     return s.select(*KEY, "bin", round_even(F.col("prob"), 4).alias("prob"))
 
 
@@ -147,7 +147,7 @@ def _sample_sql(src, n):
     keys = ", ".join(f"cast({k} as varchar)" for k in KEY)
     return f"""
 select {SCORE_KEYS}, bin, round_even(prob, 4) as prob from {src} where bin is not null
-qualify row_number() over (partition by bin order by md5(concat_ws('|', '{SEED}', {keys})), {SCORE_KEYS}) <= {n}"""
+qualify row_number() over (partition by bin order by md5(concat_ws('|', '{SEED}', {keys})), {SCORE_KEYS}, prob) <= {n}"""
 
 
 @query("interval_sample", "W9 W3 P14", with_(["scored", "correct", "correct_bins"], _sample_sql("correct_bins", 5)))

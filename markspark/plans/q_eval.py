@@ -144,9 +144,9 @@ select tile, n, n - n_1 as n_0, n_1, n - pred_1 as pred_0, pred_1,
 from (select cast(tile as integer) as tile, count(*) as n, cast(sum(label) as bigint) as n_1, cast(sum(pred) as bigint) as pred_1,
         count_if(label = 1 and pred = 1) as tp, count_if(label = 0 and pred = 0) as tn,
         count_if(label = 0 and pred = 1) as fp, count_if(label = 1 and pred = 0) as fn
-      from (select *, ntile(10) over (order by prob desc, {SCORE_KEYS}) as tile from scored) t group by tile) g"""))
+      from (select *, ntile(10) over (order by prob desc, {SCORE_KEYS}, label, pred) as tile from scored) t group by tile) g"""))
 def q_decile_chart(spark, sf):
-    return order.decile_chart(_scored(spark, sf), 10, key=KEY)
+    return order.decile_chart(_scored(spark, sf), 10, key=KEY + ["label", "pred"])
 
 
 @query("truncate_batch", "P12", with_(["scored"], f"""
@@ -191,7 +191,7 @@ def q_temperature_fit(spark, sf):
 
 
 CTE["boot_ix"] = f"""
-select label, prob, pred, row_number() over (order by {SCORE_KEYS}) - 1 as idx from scored"""
+select label, prob, pred, row_number() over (order by {SCORE_KEYS}, prob, label, pred) - 1 as idx from scored"""
 CTE["boot_draws"] = f"""
 select r.round, (('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', cast(r.round as varchar), cast(k.idx as varchar))), 1, 8))::bigint
     % (select count(*) from scored)) as idx
@@ -277,7 +277,7 @@ def _full_report(spark, sf):
     parts.append(cb.select(F.lit("calibration").alias("section"),
                            F.concat(F.lit("bin"), F.col("bin").cast("string"), F.lit(":frac_pos")).alias("name"),
                            F.col("frac_pos").alias("value")))
-    dc = order.decile_chart(s, 10, key=KEY)
+    dc = order.decile_chart(s, 10, key=KEY + ["label", "pred"])
     parts.append(dc.select(F.lit("decile").alias("section"),
                            F.concat(F.lit("tile"), F.col("tile").cast("string"), F.lit(":acc")).alias("name"),
                            F.col("acc").alias("value")))
@@ -304,6 +304,6 @@ select section, name, {r9('value')} as value from (
   from (select *, {_bin_sql('prob', 10)} as bin from scored) b group by bin
   union all
   select 'decile', 'tile' || tile || ':acc', round_even(count_if(label = pred) * 100.0::double / count(*), 2)
-  from (select *, ntile(10) over (order by prob desc, {SCORE_KEYS}) as tile from scored) t group by tile) u"""))
+  from (select *, ntile(10) over (order by prob desc, {SCORE_KEYS}, label, pred) as tile from scored) t group by tile) u"""))
 def q_full_report(spark, sf):
     return _full_report(spark, sf)
