@@ -88,3 +88,9 @@ def starts_with_trimmed(col, prefix: str) -> Column:
 def norm_eq(a, b) -> Column:
     """``a.strip().lower() == b.strip().lower()``; a null on either side is unequal."""
     return F.coalesce(F.lower(F.trim(_c(a))) == F.lower(F.trim(_c(b))), F.lit(False))
+
+
+def split_frame(df, n: int):
+    """split the work into ``n`` parts (a repartition; the parts are
+    processed in parallel by the executors, never looped over)."""
+    return df.repartition(n)

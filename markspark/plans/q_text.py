@@ -250,3 +250,10 @@ def q_token_match(spark, sf):
               .select(text.strip_ascii_punct("t").alias("word")).filter("word <> ''").distinct())
     d = load(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("tok")).distinct()
     return words.join(d, words.word == d.tok).select("word", "doc_id")
+
+
+@query("marker_strip", "F9", with_(MODEL_CHAIN, f"""
+select serial_no, replace(replace({_sql_join(_P)}, '[SEP]', ''), '[CLS]', '') as text_plain from model_text"""))
+def q_marker_strip(spark, sf):
+    m = model_table(spark, sf)
+    return m.select("serial_no", text.strip_markers("bert_input_processed").alias("text_plain"))

@@ -55,3 +55,22 @@ def test_blank_pieces_skipped(spark):
                                    "doc_id int, pos int, piece string, score double")
     got = [(r.word, r.score) for r in explain.merge_subwords(pieces, texts).orderBy("word_pos").collect()]
     assert got == [("ab", 1.0), ("cd", 3.0)]
+
+
+def test_score_with_user_model(spark):
+    from markspark.operators import models
+
+    def load():
+        def predict(texts):
+            z = [float(len(t)) - 3.0 for t in texts]
+            if any(t == "boom" for t in texts):
+                raise ValueError("bad input")
+            return [-x for x in z], z
+        return predict
+
+    df = spark.createDataFrame([(1, "abcdef"), (2, "ab")], "id long, text string")
+    got = {r.id: r for r in models.score_with(df, load, "text", ["id"]).collect()}
+    assert got[1].pred == 1 and got[2].pred == 0 and got[1].error is None
+    bad = spark.createDataFrame([(3, "boom")], "id long, text string")
+    r = models.score_with(bad, load, "text", ["id"], on_error="skip").first()
+    assert r.logit_1 is None and "bad input" in r.error

@@ -43,3 +43,8 @@ def test_strip_markers_and_tokens(spark):
     r = df.select(text.strip_markers("t").alias("s"), text.strip_ascii_punct("w").alias("w"),
                   text.has_token(F.lit("zip code"), "code").alias("h")).first()
     assert (r.s, r.w, r.h) == (" a  b", "xy", True)
+
+
+def test_split_frame(spark):
+    df = spark.range(100)
+    assert text.split_frame(df, 5).rdd.getNumPartitions() == 5
