@@ -38,7 +38,8 @@ def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame
     """
     t = df.select(key, F.explode(tokens(F.lower(F.col(text)))).alias(token_col))
     wv = word_vectors.select(token_col, array_to_vector(F.col(vec_col)).alias("_v"))
-    j = t.join(maybe_broadcast(wv), token_col)
+    dims = word_vectors.select(F.max(F.size(vec_col))).first()[0] or 0
+    j = t.join(maybe_broadcast(wv, row_bytes=64 + 8 * dims), token_col)
     g = j.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
     return g.select(key, vector_to_array(F.col("_m")).alias(out))
 

@@ -1,9 +1,10 @@
 """Joins and set operations.
 
-Equi-joins only. Broadcasts are never assumed: :func:`small_enough` checks
-the planned size of a side against Spark's own broadcast threshold, and a
-side that is not provably small goes through a shuffle join (AQE may still
-turn that into a broadcast at run time from real sizes).
+Equi-joins only. Broadcasts are never assumed from optimizer estimates
+(an exploded text column, for one, is estimated far below its real size):
+:func:`maybe_broadcast` measures a bounded row count of the side first, and
+a side that is not provably small goes through a shuffle join (AQE may still
+turn that into a broadcast at run time from real, measured sizes).
 """
 
 from __future__ import annotations
@@ -16,39 +17,38 @@ from pyspark.sql import functions as F
 from markspark.functions.text import tokens
 
 
-def _threshold(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    raw = raw.strip().lower()
-    mult = 1
-    for suf, m in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("b", 1)):
-        if raw.endswith(suf):
-            raw, mult = raw[: -len(suf)], m
-            break
-    try:
-        return int(float(raw) * mult)
-    except ValueError:
-        return 10 << 20
+# Byte budget for a side broadcast behind a measured row count.
+BROADCAST_BUDGET = 32 << 20
 
 
-def planned_size(df: DataFrame) -> int | None:
-    """Optimizer's size estimate of ``df`` in bytes (no job is run)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Connect)
-        return None
+def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
+    """Row count of ``df`` if it is at most ``max_rows``, else None.
+
+    Measured, not estimated: a limited count stops reading once the bound
+    is passed, so checking a big side costs at most ``max_rows`` rows per task.
+    """
+    n = df.limit(max_rows + 1).count()
+    return n if n <= max_rows else None
 
 
-def small_enough(df: DataFrame, limit: int | None = None) -> bool:
-    """True when the optimizer's estimate of ``df`` is under the broadcast limit."""
-    size = planned_size(df)
-    lim = _threshold(df) if limit is None else limit
-    return size is not None and 0 <= size <= lim
+def maybe_broadcast(df: DataFrame, row_bytes: int = 256, budget: int = BROADCAST_BUDGET) -> DataFrame:
+    """Broadcast hint only behind a proven size bound.
+
+    The side is broadcast when its measured row count times ``row_bytes``
+    fits the budget; otherwise it is joined by shuffle, and AQE may still turn
+    the join into a broadcast from the real size of the shuffled side.
+    """
+    max_rows = max(budget // max(row_bytes, 1), 1)
+    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
 
 
-def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast hint only for a side with a checked size bound."""
-    return F.broadcast(df) if small_enough(df, limit) else df
+def local_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """A small table (at most ``max_rows`` rows, checked) collected once and
+    broadcast as a local relation; None-equivalent fallback is the table itself."""
+    rows = df.take(max_rows + 1)
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def anti(df: DataFrame, other: DataFrame, key: str | list[str]) -> DataFrame:
@@ -74,17 +74,25 @@ def join_all(dfs: list[DataFrame], key: str | list[str], how: str = "inner") ->
     return reduce(lambda l, r: l.join(r, on=keys, how=how), dfs)
 
 
-def left_lookup(df: DataFrame, dim: DataFrame, key: str | list[str], check: bool = False) -> DataFrame:
+def left_lookup(df: DataFrame, dim: DataFrame, key: str | list[str], check: bool = False,
+                broadcast: str = "runtime") -> DataFrame:
     """Left join that must keep the row count.
 
     The dimension key must be unique; ``check=True`` verifies it with one
-    aggregate (Q2) before the join and raises otherwise.
+    aggregate (Q2) before the join and raises otherwise. ``broadcast``:
+    ``"bounded"`` when the dimension's size is bounded by construction (a
+    code table), ``"measure"`` to measure it first, ``"runtime"`` to leave the
+    choice to AQE's measured shuffle sizes.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if check:
         from markspark.operators.checks import expect_unique
         expect_unique(dim, keys, raise_on_fail=True)
-    return df.join(maybe_broadcast(dim), on=keys, how="left")
+    if broadcast == "bounded":
+        dim = F.broadcast(dim)
+    elif broadcast == "measure":
+        dim = maybe_broadcast(dim, row_bytes=512)
+    return df.join(dim, on=keys, how="left")
 
 
 def lexicon_indicator(df: DataFrame, key: str, text: str, lexicon: DataFrame,
@@ -98,7 +106,7 @@ def lexicon_indicator(df: DataFrame, key: str, text: str, lexicon: DataFrame,
     t = F.lower(F.col(text)) if lower else F.col(text)
     exploded = df.select(key, F.explode(tokens(t)).alias(token_col))
     lex = lexicon.select(token_col).distinct()
-    hits = exploded.join(maybe_broadcast(lex), on=token_col, how="left_semi").select(key).distinct()
+    hits = exploded.join(maybe_broadcast(lex, row_bytes=64), on=token_col, how="left_semi").select(key).distinct()
     flagged = hits.withColumn(out, F.lit(1))
     return df.join(flagged, on=key, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 

@@ -22,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markspark.operators.joins import maybe_broadcast
+from markspark.operators.joins import local_broadcast
+
+# (group, partition) rows above which the offset table is joined by shuffle
+_OFFSETS_MAX = 200_000
 from markspark.session import checkpoint_dir
 
 _POS_MASK = (1 << 33) - 1
@@ -58,6 +61,12 @@ def _offsets(s: DataFrame, pb: list[str], values: dict[str, Column]) -> DataFram
     return small
 
 
+def _bounded(small: DataFrame, pb: list[str]) -> DataFrame:
+    """Broadcast the offset table: without groups it has one row per sorted
+    partition (bounded by construction); with groups its size is checked."""
+    return F.broadcast(small) if not pb else local_broadcast(small, _OFFSETS_MAX)
+
+
 def global_index(df: DataFrame, order: list, partition_by: list[str] | None = None,
                  out: str = "idx", total: str | None = "n_total") -> DataFrame:
     """0-based position of each row in ``order`` (within ``partition_by`` groups).
@@ -67,7 +76,7 @@ def global_index(df: DataFrame, order: list, partition_by: list[str] | None = No
     pb = list(partition_by or [])
     s = sorted_positions(df, order, pb)
     small = _offsets(s, pb, {}).select(*pb, "_pid", "_first", "_off", "_n")
-    j = s.join(maybe_broadcast(small), on=[*pb, "_pid"], how="inner")
+    j = s.join(_bounded(small, pb), on=[*pb, "_pid"], how="inner")
     j = j.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first"))
     if total:
         j = j.withColumn(total, F.col("_n"))
@@ -96,7 +105,7 @@ def prefix_sums(df: DataFrame, order: list, values: dict[str, Column | str],
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for k in vals:
         s = s.withColumn(f"_w_{k}", F.coalesce(F.sum(f"_v_{k}").over(frame), F.lit(0)))
-    j = s.join(maybe_broadcast(small.select(*keep)), on=[*pb, "_pid"], how="inner")
+    j = s.join(_bounded(small.select(*keep), pb), on=[*pb, "_pid"], how="inner")
     for k in vals:
         j = j.withColumn(f"cum_{k}", F.col(f"_o_{k}") + F.col(f"_w_{k}"))
         if with_totals:

@@ -83,13 +83,16 @@ def q_vector_diff(spark, sf):
     return lv.select("serial_no", "dim", sr9(F.col("value")).alias("value"))
 
 
-def doc_base(spark, sf):
-    """Labelled documents with length and lexicon flag (J7 inner join to labels)."""
+def doc_labelled(spark, sf):
+    """Labelled documents (J7 inner join to labels) with their word count."""
     d = load(spark, sf, "documents").select("doc_id", "text", "lang")
     lab = load(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    d = d.join(lab, "doc_id")
-    d = d.withColumn("n_words", word_count(strip_punct("text")))
-    return joins.lexicon_indicator(d, "doc_id", "text", ad.lexicon(spark, sf))
+    return d.join(lab, "doc_id").withColumn("n_words", word_count(strip_punct("text")))
+
+
+def doc_base(spark, sf):
+    """Labelled documents with length and lexicon flag."""
+    return joins.lexicon_indicator(doc_labelled(spark, sf), "doc_id", "text", ad.lexicon(spark, sf))
 
 
 def feature_rows(spark, sf):
@@ -123,6 +126,7 @@ def _split(df, key):
 
 
 GBT_ITER, GBT_DEPTH = 20, 5  # registered query sizes; the operator defaults are 500 / 7
+TEXT_FEATURES, TEXT_ITER = 1 << 16, 30  # registered query sizes; the operator defaults are 2**18 / 100
 
 
 def _gbt(spark, sf):
@@ -146,9 +150,10 @@ def q_split_importance(spark, sf):
 
 
 def _text_model(spark, sf, text_col="text"):
-    d = materialize(doc_base(spark, sf))
+    d = materialize(doc_labelled(spark, sf))
     train, test = _split(d, "doc_id")
-    return models.train_text_classifier(train, text_col, "label", reg=0.01, max_iter=50), d, test
+    m = models.train_text_classifier(train, text_col, "label", reg=0.01, max_iter=TEXT_ITER, num_features=TEXT_FEATURES)
+    return m, d, test
 
 
 @query("text_classifier_scores", "M5 M6")
@@ -170,11 +175,12 @@ def ablations() -> dict:
 
 @query("ablation_report", "E18 F7 M5 E3 E5")
 def q_ablation_report(spark, sf):
-    d = materialize(doc_base(spark, sf))
+    d = materialize(doc_labelled(spark, sf))
     train, test = _split(d, "doc_id")
     parts = []
     for name, expr in ablations().items():
-        m = models.train_text_classifier(train.withColumn("input", expr), "input", "label", reg=0.01, max_iter=50)
+        m = models.train_text_classifier(train.withColumn("input", expr), "input", "label", reg=0.01,
+                                         max_iter=TEXT_ITER, num_features=TEXT_FEATURES)
         s = models.score(m, test.withColumn("input", expr), keep=["doc_id", "label"])
         acc = ev.accuracy(s).withColumn("variant", F.lit(name))
         auc = ev.auc(s).withColumn("variant", F.lit(name))

@@ -113,7 +113,7 @@ def model_table(spark: SparkSession, sf: str) -> DataFrame:
         F.col("Class").alias("intl_class_cd"),
         text.clean_lower("Description").alias("nice_description_preprocessed"),
         F.col("Description").alias("nice_description_unpreprocessed"))
-    m = joins.left_lookup(m, nice, "intl_class_cd")
+    m = joins.left_lookup(m, nice, "intl_class_cd", broadcast="bounded")  # one row per class code
     pm, rest = statement_parts(spark, sf)
     m = joins.left_lookup(m, pm, "serial_no")
     m = (m.withColumn("pseudo_mark_processed", text.pseudo_mark_text("pseudo_mark_processed"))
