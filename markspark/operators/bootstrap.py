@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from markspark.functions.numeric import md5_unit
 from markspark.operators.evaluate import report_from_counts
 from markspark.operators.order import global_index, prefix_sums
-from markspark.operators.stats import mean_ci
 
 
 def draws(spark, n: int, rounds: int, seed: int) -> DataFrame:
@@ -86,16 +85,14 @@ def bootstrap(scored: DataFrame, key: list[str], rounds: int = 30, seed: int = 4
 
 def bootstrap_summary(results: DataFrame, metrics=("accuracy", "auc", "precision", "recall", "f1"),
                       qs=(0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0), z: float = 1.96) -> DataFrame:
-    """Per metric: count, mean, std, quantiles (4 places) and the normal
-    confidence band. The input has one row per round (bounded by ``rounds``)."""
-    parts = []
+    """Per metric: count, mean, sample std, the normal confidence band
+    and interpolated quantiles ``q0..``. The rounds table is unpivoted to
+    (metric, value) and summarised by one grouped aggregate (one pass)."""
+    stack = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
+    long = results.selectExpr(f"stack({len(metrics)}, {stack}) as (metric, value)")
     arr = F.array(*[F.lit(float(q)) for q in qs])
-    for m in metrics:
-        ci = mean_ci(results, None, m, z).select(F.lit(m).alias("metric"), "n", "mean", "std", "ci_lo", "ci_hi")
-        q = results.agg(F.percentile(m, arr).alias("_q")).select(
-            F.lit(m).alias("metric"), *[F.col("_q")[i].alias(f"q{i}") for i in range(len(qs))])
-        parts.append(ci.join(q, "metric"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    g = long.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
+                                   F.stddev_samp("value").alias("std"), F.percentile("value", arr).alias("_q"))
+    half = F.lit(float(z)) * F.col("std") / F.sqrt(F.col("n"))
+    return g.select("metric", "n", "mean", "std", (F.col("mean") - half).alias("ci_lo"),
+                    (F.col("mean") + half).alias("ci_hi"), *[F.col("_q")[i].alias(f"q{i}") for i in range(len(qs))])

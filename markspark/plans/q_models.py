@@ -177,15 +177,14 @@ def ablations() -> dict:
 def q_ablation_report(spark, sf):
     d = materialize(doc_labelled(spark, sf))
     train, test = _split(d, "doc_id")
-    parts = []
+    scored = []
     for name, expr in ablations().items():
         m = models.train_text_classifier(train.withColumn("input", expr), "input", "label", reg=0.01,
                                          max_iter=TEXT_ITER, num_features=TEXT_FEATURES)
-        s = models.score(m, test.withColumn("input", expr), keep=["doc_id", "label"])
-        acc = ev.accuracy(s).withColumn("variant", F.lit(name))
-        auc = ev.auc(s).withColumn("variant", F.lit(name))
-        parts.append(acc.join(auc, "variant").select("variant", "accuracy", "auc"))
-    return joins.union_all(parts)
+        scored.append(models.score(m, test.withColumn("input", expr), keep=["doc_id", "label"])
+                      .withColumn("variant", F.lit(name)))
+    s = joins.union_all(scored)
+    return ev.accuracy(s, by=["variant"]).join(ev.auc(s, by=["variant"]), "variant")
 
 
 @query("occlusion", "X2")
