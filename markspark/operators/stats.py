@@ -106,37 +106,38 @@ def box_stats(df: DataFrame, by: list[str], val: str) -> DataFrame:
                     (F.col("_q")[3] + F.lit(1.5) * iqr).alias("whisker_hi"))
 
 
+def unpivot(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """Long form (by..., metric, value) of numeric columns (``stack``)."""
+    by = list(by or [])
+    stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
+    return df.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {stack}) as (metric, value)")
+
+
 def describe(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles, max per column (long form)."""
-    parts = []
-    for c in cols:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts.append(df.groupBy(*(by or [])).agg(
-            F.lit(c).alias("metric"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-            q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(c).cast("double").alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Count, mean, std, min, quartiles, max per column (one row per
+    metric). Quartiles are exact and sort-based (see order.exact_quantiles)."""
+    from markspark.operators.order import exact_quantiles
+    keys = list(by or []) + ["metric"]
+    long = unpivot(df, cols, by)
+    a = long.groupBy(*keys).agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
+                                F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                                F.max("value").alias("max"))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys)
+    return a.join(q, keys).select(*keys, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
+                                  F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
 
 
 def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None,
               digits: int | None = 4) -> DataFrame:
-    """Interpolated quantiles (long form: metric, q, value)."""
-    parts = []
+    """Interpolated quantiles, long form (by..., metric, q, value),
+    rounded half-even to ``digits`` places."""
+    from markspark.operators.order import exact_quantiles
+    keys = list(by or []) + ["metric"]
+    q = exact_quantiles(unpivot(df, cols, by), "value", qs, keys)
     arr = F.array(*[F.lit(float(x)) for x in qs])
-    for c in cols:
-        g = df.groupBy(*(by or [])).agg(F.percentile(c, arr).alias("_v"))
-        z = g.select(*(by or []), F.lit(c).alias("metric"),
-                     F.posexplode(F.arrays_zip(arr.alias("q"), F.col("_v").alias("v"))).alias("_i", "_z"))
-        val = F.col("_z.v")
-        parts.append(z.select(*(by or []), "metric", F.col("_z.q").alias("q"),
-                              (round_even(val, digits) if digits is not None else val).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    z = q.select(*keys, F.explode(F.arrays_zip(arr.alias("q"), F.col("_q").alias("v"))).alias("_z"))
+    val = F.col("_z.v")
+    return z.select(*keys, F.col("_z.q").alias("q"), (round_even(val, digits) if digits is not None else val).alias("value"))
 
 
 def mean_ci(df: DataFrame, by: list[str] | None, val: str, z: float = 1.96) -> DataFrame:

@@ -307,3 +307,28 @@ select section, name, {r9('value')} as value from (
   from (select *, ntile(10) over (order by prob desc, {SCORE_KEYS}, label, pred) as tile from scored) t group by tile) u"""))
 def q_full_report(spark, sf):
     return _full_report(spark, sf)
+
+
+_DESC = ["prob", "logit_1"]
+_QS_A13 = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
+
+
+@query("describe_scores", "A12", with_(["scored"], " union all ".join(f"""
+select '{c}' as metric, count({c}) as count, {r9(f'avg({c})')} as mean, {r9(f'stddev_samp({c})')} as std,
+  min({c})::double as min, {r9(f'quantile_cont({c}, 0.25::double)')} as p25, {r9(f'quantile_cont({c}, 0.5::double)')} as p50,
+  {r9(f'quantile_cont({c}, 0.75::double)')} as p75, max({c})::double as max from scored""" for c in _DESC)))
+def q_describe_scores(spark, sf):
+    from markspark.operators.stats import describe
+    d = describe(_scored(spark, sf), _DESC)
+    return d.select("metric", "count", sr9(F.col("mean")).alias("mean"), sr9(F.col("std")).alias("std"), "min",
+                    sr9(F.col("p25")).alias("p25"), sr9(F.col("p50")).alias("p50"), sr9(F.col("p75")).alias("p75"), "max")
+
+
+@query("quantile_table", "A13", with_(["scored"], " union all ".join(
+    f"select '{c}' as metric, {dbl(q)} as q, round_even(round_even(quantile_cont({c}, {dbl(q)}), 12), 4) as value from scored"
+    for c in _DESC for q in _QS_A13)))
+def q_quantile_table(spark, sf):
+    from markspark.operators.stats import quantiles
+    from markspark.functions.numeric import round_even as re_
+    q = quantiles(_scored(spark, sf), _DESC, _QS_A13, digits=None)
+    return q.select("metric", "q", re_(re_(F.col("value"), 12), 4).alias("value"))
