@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from markspark.functions.numeric import md5_unit
 from markspark.operators.evaluate import report_from_counts
 from markspark.operators.order import global_index, prefix_sums
+from markspark.session import materialize
 
 
 def draws(spark, n: int, rounds: int, seed: int) -> DataFrame:
@@ -30,19 +31,32 @@ def draws(spark, n: int, rounds: int, seed: int) -> DataFrame:
     return r.select(rnd.alias("round"), (md5_unit(F.lit(seed), rnd, k) % F.lit(n)).alias("idx"))
 
 
-def _poisson1(u: Column, kmax: int = 16) -> Column:
-    """Poisson(1) variate by inverse CDF from a uniform ``u`` in [0, 1)."""
-    cdf, p, expr = 0.0, math.exp(-1.0), None
+def poisson1_cdf(kmax: int = 16) -> list[float]:
+    """P(X <= k) of Poisson(1) for k < kmax (the inverse-CDF thresholds)."""
+    out, cdf, p = [], 0.0, math.exp(-1.0)
     for k in range(kmax):
         cdf += p
         p /= (k + 1)
-        expr = F.when(u < F.lit(cdf), F.lit(k)) if expr is None else expr.when(u < F.lit(cdf), F.lit(k))
+        out.append(cdf)
+    return out
+
+
+def _poisson1(u: Column, kmax: int = 16) -> Column:
+    """Poisson(1) variate by inverse CDF from a uniform ``u`` in [0, 1)."""
+    expr = None
+    for k, c in enumerate(poisson1_cdf(kmax)):
+        expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
     return expr.otherwise(F.lit(kmax))
 
 
 def _round_metrics(w: DataFrame) -> DataFrame:
     """Per round: accuracy, AUC, weighted precision/recall/f1 from rows with
-    columns (round, label, prob, pred, w)."""
+    columns (round, label, prob, pred, w).
+
+    The rows are first reduced to weights per (round, score, label, pred)
+    and that aggregate is checkpointed: the confusion counts and the score
+    table both read it, so the draws are computed once."""
+    w = materialize(w.groupBy("round", "prob", "label", "pred").agg(F.sum("w").alias("w")))
     y, p, wt = F.col("label"), F.col("pred"), F.col("w")
     counts = w.groupBy("round").agg(
         F.sum(F.when((y == 1) & (p == 1), wt).otherwise(0)).alias("tp"),
@@ -69,7 +83,10 @@ def bootstrap(scored: DataFrame, key: list[str], rounds: int = 30, seed: int = 4
         rnd = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
         x = slim.select("*", rnd)
         u = md5_unit(F.lit(seed), F.col("round"), *[F.col(k) for k in key]).cast("double") / F.lit(4294967296.0)
-        w = x.withColumn("w", _poisson1(u)).filter("w > 0")
+        # u gets its own column so the md5 is computed once per row, not per CASE
+        # branch; rows drawn 0 times stay (weight 0 adds nothing) so that no
+        # filter pulls the CASE, and with it the md5, below that column
+        w = x.withColumn("_u", u).withColumn("w", _poisson1(F.col("_u"))).drop("_u")
         return _round_metrics(w)
     if method != "exact":
         raise ValueError(f"unknown bootstrap method {method!r}")

@@ -332,3 +332,39 @@ def q_quantile_table(spark, sf):
     from markspark.functions.numeric import round_even as re_
     q = quantiles(_scored(spark, sf), _DESC, _QS_A13, digits=None)
     return q.select("metric", "q", re_(re_(F.col("value"), 12), 4).alias("value"))
+
+
+def _poisson_sql() -> str:
+    from markspark.operators.bootstrap import poisson1_cdf
+    keys = ", ".join(f"cast({k} as varchar)" for k in KEY)
+    u = (f"(('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', cast(r.round as varchar), {keys})), 1, 8))::bigint"
+         f"::double / 4294967296.0::double)")
+    cases = " ".join(f"when {u} < {dbl(c)} then {k}" for k, c in enumerate(poisson1_cdf()))
+    return f"select r.round, s.label, s.prob, s.pred, case {cases} else 16 end as w " \
+           f"from scored s, (select unnest(range({BOOT_ROUNDS})) as round) r"
+
+
+CTE["pw"] = "select * from (" + _poisson_sql() + ") x where w > 0"
+CTE["pw_counts"] = """
+select round, sum(case when label = 1 and pred = 1 then w else 0 end) as tp,
+  sum(case when label = 0 and pred = 0 then w else 0 end) as tn, sum(case when label = 0 and pred = 1 then w else 0 end) as fp,
+  sum(case when label = 1 and pred = 0 then w else 0 end) as fn, sum(w) as n from pw group by round"""
+CTE["pw_roc"] = """
+select *, sum(pos) over (partition by round order by score desc rows between unbounded preceding and current row) as cum_pos,
+  sum(neg) over (partition by round order by score desc rows between unbounded preceding and current row) as cum_neg,
+  sum(pos) over (partition by round) as tot_pos, sum(neg) over (partition by round) as tot_neg
+from (select round, prob as score, sum(case when label = 1 then w else 0 end) as pos,
+        sum(case when label <> 1 then w else 0 end) as neg from pw group by round, prob) st"""
+CTE["pw_report"] = report_sql("pw_counts", ["round"])
+
+
+@query("bootstrap_poisson", "E14 (Poisson weights)", with_(["scored", "pw", "pw_counts", "pw_roc", "pw_report"], f"""
+select cast(a.round as integer) as round, {r9('a.f1')} as accuracy, {r9('u.auc')} as auc, {r9('w.precision')} as precision,
+  {r9('w.recall')} as recall, {r9('w.f1')} as f1
+from (select * from pw_report where class_name = 'accuracy') a
+join (select round, sum(pos * (tot_neg - cum_neg + neg / 2.0::double)) / (max(tot_pos) * max(tot_neg)) as auc
+      from pw_roc group by round) u on a.round = u.round
+join (select * from pw_report where class_name = 'weighted avg') w on a.round = w.round"""))
+def q_bootstrap_poisson(spark, sf):
+    b = bs.bootstrap(_scored(spark, sf), KEY, rounds=BOOT_ROUNDS, seed=BOOT_SEED, method="poisson")
+    return b.select(F.col("round").cast("int"), *[sr9(F.col(c)).alias(c) for c in ("accuracy", "auc", "precision", "recall", "f1")])
