@@ -8,8 +8,6 @@ partial aggregation; no per-text list is ever collected).
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +32,17 @@ def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame
                      token_col: str = "token", vec_col: str = "vector", out: str = "vector") -> DataFrame:
     """M1: mean word vector of each text's lower-case whitespace tokens.
 
-    Tokens without a vector are skipped; a text with none gets no row.
+    Tokens without a vector are skipped; a text with none gets no row. The
+    mean is one hash aggregate with a column per dimension (codegen, partial
+    aggregation per task), so no per-text list is collected and no row is
+    exploded per dimension.
     """
-    t = df.select(key, F.explode(tokens(F.lower(F.col(text)))).alias(token_col))
-    wv = word_vectors.select(token_col, array_to_vector(F.col(vec_col)).alias("_v"))
     dims = word_vectors.select(F.max(F.size(vec_col))).first()[0] or 0
+    t = df.select(key, F.explode(tokens(F.lower(F.col(text)))).alias(token_col))
+    wv = word_vectors.select(token_col, *[F.col(vec_col)[i].cast("double").alias(f"_d{i}") for i in range(dims)])
     j = t.join(maybe_broadcast(wv, row_bytes=64 + 8 * dims), token_col)
-    g = j.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
-    return g.select(key, vector_to_array(F.col("_m")).alias(out))
+    g = j.groupBy(key).agg(*[F.avg(f"_d{i}").alias(f"_d{i}") for i in range(dims)])
+    return g.select(key, F.array(*[F.col(f"_d{i}") for i in range(dims)]).alias(out))
 
 
 def vector_diff(df: DataFrame, key: str, a: str, b: str, word_vectors: DataFrame, out: str = "v") -> DataFrame:

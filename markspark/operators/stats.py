@@ -35,6 +35,16 @@ def concat_text(df: DataFrame, key: str, text: str, order: str | list[str],
     return df.groupBy(key).agg(agg)
 
 
+def concat_texts(df: DataFrame, key: str, texts: dict[str, str], order: str | list[str],
+                 sep: str = " ") -> DataFrame:
+    """A2 for several text columns at once: ``{out: text}`` concatenated per key
+    in one aggregate (one shuffle instead of one per column plus joins)."""
+    orders = [order] if isinstance(order, str) else list(order)
+    ob = ", ".join(f"`{o}`" for o in orders)
+    aggs = [F.expr(f"listagg(`{t}`, '{sep}') within group (order by {ob})").alias(o) for o, t in texts.items()]
+    return df.groupBy(key).agg(*aggs)
+
+
 def value_counts(df: DataFrame, col: str, normalize: bool = True, out: str = "pct") -> DataFrame:
     """A3: frequency table, as a percentage of all rows when ``normalize``."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

@@ -91,9 +91,7 @@ def statement_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     pm, rest = clean.split_by_prefix(st, "statement_type_cd", "sys")
 
     def agg(df, p_out, u_out):
-        a = stats.concat_text(df, "serial_no", "statement_processed", "seq", out=p_out)
-        b = stats.concat_text(df, "serial_no", "statement_text", "seq", out=u_out)
-        return a.join(b, "serial_no")
+        return stats.concat_texts(df, "serial_no", {p_out: "statement_processed", u_out: "statement_text"}, "seq")
     return (agg(pm, "pseudo_mark_processed", "pseudo_mark_unprocessed"),
             agg(rest, "statement_processed", "statement_unprocessed"))
 
