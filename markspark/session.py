@@ -75,7 +75,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="markspark-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: the global-order operators and "
+                               "model inputs are checkpointed there so lost executors can recover")
+        conf_dir = tempfile.mkdtemp(prefix="markspark-ckpt-")  # local mode only (tests)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
