@@ -14,8 +14,8 @@ from markspark.functions.numeric import md5_unit
 
 # Begin and separator markers of the two marker styles.
 MARKERS = {
-    "bert": ("[CLS] ", " [SEP] "),
-    "roberta": ("<s> ", " </s> "),
+    "cls": ("[CLS] ", " [SEP] "),
+    "s_tag": ("<s> ", " </s> "),
 }
 
 # Segment order of the full input, processed and unprocessed.
@@ -43,7 +43,7 @@ def segments(variant: str, processed: bool = True) -> list[str]:
     raise ValueError(f"unknown model-input variant {variant!r}")
 
 
-def join_segments(cols: list[Column], style: str = "bert") -> Column:
+def join_segments(cols: list[Column], style: str = "cls") -> Column:
     begin, sep = MARKERS[style]
     parts: list[Column] = [F.lit(begin)]
     for i, c in enumerate(cols):
@@ -53,7 +53,7 @@ def join_segments(cols: list[Column], style: str = "bert") -> Column:
     return F.concat(*parts)
 
 
-def model_input(variant: str = "full", style: str = "bert", processed: bool = True,
+def model_input(variant: str = "full", style: str = "cls", processed: bool = True,
                 seed: int = 42, key: str | None = None) -> Column:
     """The model's input text for one row.
 

@@ -246,3 +246,13 @@ from delays where delay is not null group by delay"""))
 def q_delay_mean(spark, sf):
     m = stats.mean_by(_delays(spark, sf), "delay", "prob")
     return m.select("delay", "n", *[sr9(F.col(c)).alias(c) for c in ("mean", "std", "ci_lo", "ci_hi")])
+
+
+@query("court_model_input", "F6 F4", with_(COURT, """
+select row_id, '[CLS] ' || mark || ' [SEP] ' || description || ' [SEP] ' || 'Nice class is ' || cast(nice_class as varchar)
+  as model_input from court"""))
+def q_court_model_input(spark, sf):
+    from markspark.functions.templates import model_input
+    from markspark.functions.text import indicator_text
+    c = ad.court_decisions(spark, sf).withColumn("nice_class_text", indicator_text("nice_class", "Nice class is "))
+    return c.select("row_id", model_input("short", "cls").alias("model_input"))

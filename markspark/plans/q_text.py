@@ -121,8 +121,8 @@ def model_table(spark: SparkSession, sf: str) -> DataFrame:
     m = (m.withColumn("wordnet_text", text.flag_text("wn_ind", "mark present in Wordnet", "mark absent in Wordnet"))
           .withColumn("mark_length_text", text.indicator_text("mark_len", "mark length is "))
           .withColumn("nice_cat_text", text.indicator_text("intl_class_cd", "NICE category is ")))
-    return (m.withColumn("bert_input_processed", templates.model_input("full", "bert", True))
-             .withColumn("bert_input_unprocessed", templates.model_input("full", "bert", False)))
+    return (m.withColumn("bert_input_processed", templates.model_input("full", "cls", True))
+             .withColumn("bert_input_unprocessed", templates.model_input("full", "cls", False)))
 
 
 CTE["pm_rest"] = f"""
@@ -197,25 +197,25 @@ def q_model_input_pieces(spark, sf):
         "nice_cat_text", "nice_description_preprocessed", "pseudo_mark_processed", "pseudo_mark_unprocessed")
 
 
-@query("model_input_roberta", "F5 (second marker style)", with_(MODEL_CHAIN, f"""
-select serial_no, {_sql_join(_P, '<s> ', ' </s> ')} as roberta_input_processed from model_text"""))
-def q_model_input_roberta(spark, sf):
+@query("model_input_s_tags", "F5 (second marker style)", with_(MODEL_CHAIN, f"""
+select serial_no, {_sql_join(_P, '<s> ', ' </s> ')} as s_tag_input_processed from model_text"""))
+def q_model_input_s_tags(spark, sf):
     return model_table(spark, sf).select(
-        "serial_no", templates.model_input("full", "roberta", True).alias("roberta_input_processed"))
+        "serial_no", templates.model_input("full", "s_tag", True).alias("s_tag_input_processed"))
 
 
 @query("model_input_mark_only", "F7", with_(MODEL_CHAIN, """
 select serial_no, '[CLS] ' || mark_unprocessed as bert_input_only_mark from model_text"""))
 def q_model_input_mark_only(spark, sf):
     return model_table(spark, sf).select(
-        "serial_no", templates.model_input("only_mark", "bert", False).alias("bert_input_only_mark"))
+        "serial_no", templates.model_input("only_mark", "cls", False).alias("bert_input_only_mark"))
 
 
 @query("model_input_wo_mark", "F7", with_(MODEL_CHAIN, f"""
 select serial_no, {_sql_join(_U[1:])} as bert_input_wo_mark from model_text"""))
 def q_model_input_wo_mark(spark, sf):
     return model_table(spark, sf).select(
-        "serial_no", templates.model_input("wo_mark", "bert", False).alias("bert_input_wo_mark"))
+        "serial_no", templates.model_input("wo_mark", "cls", False).alias("bert_input_wo_mark"))
 
 
 _SHUF = " union all ".join(
@@ -229,7 +229,7 @@ select serial_no, '[CLS] ' || string_agg(seg, ' [SEP] ' order by h, seg) as bert
   from ({_SHUF}) u) t group by serial_no"""))
 def q_model_input_shuffled(spark, sf):
     return model_table(spark, sf).select(
-        "serial_no", templates.model_input("shuffled", "bert", False, seed=42, key="serial_no").alias("bert_input_shuffled"))
+        "serial_no", templates.model_input("shuffled", "cls", False, seed=42, key="serial_no").alias("bert_input_shuffled"))
 
 
 _PUNCT_SQL = text.ASCII_PUNCT.replace("'", "''")

@@ -24,7 +24,7 @@ def test_model_input_null_propagates(spark):
     cols = templates.segments("full", processed=False)
     row = {c: c.upper() for c in cols}
     df = spark.createDataFrame([row, {**row, cols[3]: None}])
-    got = df.select(templates.model_input("full", "bert", processed=False).alias("x")).collect()
+    got = df.select(templates.model_input("full", "cls", processed=False).alias("x")).collect()
     assert got[0].x.startswith("[CLS] MARK_UNPROCESSED [SEP] STATEMENT_UNPROCESSED")
     assert got[1].x is None
 
@@ -32,7 +32,7 @@ def test_model_input_null_propagates(spark):
 def test_shuffled_is_a_permutation(spark):
     cols = templates.segments("full", processed=False)
     df = spark.createDataFrame([{**{c: c for c in cols}, "k": i} for i in range(5)])
-    got = df.select(templates.model_input("shuffled", "bert", False, seed=7, key="k").alias("x")).collect()
+    got = df.select(templates.model_input("shuffled", "cls", False, seed=7, key="k").alias("x")).collect()
     for r in got:
         assert sorted(r.x[len("[CLS] "):].split(" [SEP] ")) == sorted(cols)
     assert len({r.x for r in got}) > 1
