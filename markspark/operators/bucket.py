@@ -41,9 +41,19 @@ def cut(df: DataFrame, col: str, edges: list[float], prefix: str = "bin",
                .withColumn(f"{prefix}_hi", F.try_element_at(hi_arr, F.col(prefix))))
 
 
-def quantile_edges(df: DataFrame, col: str, qs: list[float]) -> list[float]:
-    """Distinct interpolated quantile edges (duplicates dropped, ascending)."""
-    row = exact_quantiles(df, col, qs).first()
+def quantile_edges(df: DataFrame, col: str, qs: list[float], approx: bool = False,
+                   accuracy: int = 10000) -> list[float]:
+    """Distinct quantile edges (duplicates dropped, ascending).
+
+    Exact (sort-based, interpolated) by default; ``approx=True`` uses one
+    ``percentile_approx`` aggregate (no sort, bounded memory, rank error
+    1/accuracy, no interpolation) for very large inputs.
+    """
+    if approx:
+        arr = F.array(*[F.lit(float(q)) for q in qs])
+        row = df.agg(F.percentile_approx(F.col(col).cast("double"), arr, accuracy).alias("_q")).first()
+    else:
+        row = exact_quantiles(df, col, qs).first()
     vals = [] if row is None else [v for v in row["_q"] if v is not None]
     out: list[float] = []
     for v in vals:
@@ -52,10 +62,10 @@ def quantile_edges(df: DataFrame, col: str, qs: list[float]) -> list[float]:
     return out
 
 
-def qcut(df: DataFrame, col: str, qs: list[float], prefix: str = "qbin") -> DataFrame:
+def qcut(df: DataFrame, col: str, qs: list[float], prefix: str = "qbin", approx: bool = False) -> DataFrame:
     """Quantile bins with duplicate edges dropped; the first bin includes its
     lower edge."""
-    edges = quantile_edges(df, col, qs)
+    edges = quantile_edges(df, col, qs, approx)
     if len(edges) < 2:
         return df.withColumn(prefix, F.lit(None).cast("int")) \
                  .withColumn(f"{prefix}_lo", F.lit(None).cast("double")) \

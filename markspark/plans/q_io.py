@@ -116,3 +116,13 @@ def q_quality_checks(spark, sf):
     for q in (q2, q3, q4, q5):
         out = out.unionByName(q)
     return out
+
+
+@query("segment_ingest", "S2 S3 P1", with_(["cases"], """
+select * from cases where filing_dt >= date '2000-01-01' and filing_dt < date '2002-01-01'"""))
+def q_segment_ingest(spark, sf):
+    orders = tables.load(spark, sf, "orders")
+    src, dst = scratch(spark, "orders-csv"), scratch(spark, "orders-2000-2001")
+    orders.write.option("header", True).csv(src)  # the extract as CSV files
+    tables.ingest_years(spark, src, dst, orders.schema, "o_orderdate", 2000, 2001)
+    return ad.cases_from(tables.read_table(spark, dst, orders.schema))

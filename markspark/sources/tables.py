@@ -25,6 +25,21 @@ def read_table(spark: SparkSession, path: str, schema: StructType,
     return df.select(*columns) if columns else df
 
 
+def ingest_years(spark: SparkSession, src: str, dst: str, schema: StructType, col: str, lo: int, hi: int,
+                 src_fmt: str = "csv", dst_fmt: str = "csv") -> None:
+    """One lazy read -> year-range filter -> write (CSV with one header per
+    part file). The chunked loop of a single-process reader disappears: the
+    scan is split by the engine and the range predicate reaches the reader."""
+    from markspark.operators.clean import year_between
+    reader = spark.read.schema(schema).format(src_fmt)
+    if src_fmt == "csv":
+        reader = reader.option("header", True)
+    out = year_between(reader.load(src), col, lo, hi).write.mode("overwrite").format(dst_fmt)
+    if dst_fmt == "csv":
+        out = out.option("header", True)
+    out.save(dst)
+
+
 def read_stage(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Stage table read with projection (reaches the Parquet ReadSchema)."""
     df = spark.read.parquet(path)

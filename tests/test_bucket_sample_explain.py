@@ -74,3 +74,10 @@ def test_score_with_user_model(spark):
     bad = spark.createDataFrame([(3, "boom")], "id long, text string")
     r = models.score_with(bad, load, "text", ["id"], on_error="skip").first()
     assert r.logit_1 is None and "bad input" in r.error
+
+
+def test_approx_edges_close(spark):
+    df = spark.range(10000).select((F.col("id") % 1000).cast("double").alias("x"))
+    ex = bucket.quantile_edges(df, "x", [0.0, 0.5, 1.0])
+    ap = bucket.quantile_edges(df, "x", [0.0, 0.5, 1.0], approx=True)
+    assert ex[0] == ap[0] and ex[-1] == ap[-1] and abs(ex[1] - ap[1]) <= 2
