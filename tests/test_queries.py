@@ -35,7 +35,7 @@ def test_query_matches_oracle(spark, duck, name):
     if sql is None:
         assert st.num_rows >= 0
         return
-    dt = duck.sql(sql).fetch_arrow_table()
+    dt = duck.sql(sql).to_arrow_table()
     sc, sr = rows(st, 6)
     dc, dr = rows(dt, 6)
     assert sc == dc
