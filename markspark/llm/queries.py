@@ -118,11 +118,11 @@ WITH l AS (SELECT doc_id, source, generate_subscripts(a, 1) AS pos, unnest(a) AS
            FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents)),
 b AS (SELECT trim(line, ' ') AS t, min(doc_id) AS first_id FROM l WHERE trim(line, ' ') <> ''
       GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
-m AS (SELECT l.doc_id, l.pos, l.line, trim(l.line, ' ') <> '' AS some, coalesce(b.first_id <> l.doc_id, false) AS gone
+m AS (SELECT l.doc_id, l.pos, l.line, trim(l.line, ' ') <> '' AS is_line, coalesce(b.first_id <> l.doc_id, false) AS gone
       FROM l LEFT JOIN b ON trim(l.line, ' ') = b.t)
 SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_removed, 0) AS n_removed,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text
-FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (some) AS n_lines, count(*) FILTER (gone) AS n_removed,
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (is_line) AS n_lines, count(*) FILTER (gone) AS n_removed,
        string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text FROM m GROUP BY doc_id) x USING (doc_id)
 """
 
@@ -145,8 +145,8 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 _OP4 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
