@@ -28,7 +28,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from markspark.llm.common import stored
 #: Characters of a text, or of a word's symbols, encoded at once.
 PIECE = 65_536
 #: Blank-separated chunks kept in a worker's table, and the longest one kept.
-TABLE_WORDS, TABLE_CHARS = 250_000, 64
+TABLE_WORDS, TABLE_CHARS = 150_000, 64
 #: Characters that NFC leaves alone, whose lower case is one character and whose classes all libraries share.
 _PLAIN = re.compile("[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u017E]*")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on (fixed rule).
@@ -91,14 +91,19 @@ class Codec:
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)  # a word's part that goes on
-        self.final = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
+        self.final = self.tok.model
+        self._part = (lambda: models.BPE(vocab=model["vocab"], merges=merges)) if self.suffix else lambda: self.final
         self.names = {i: s for s, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.decoder = self.tok.decoder
         self.word = self._word_pattern(spec)
         self.table = _Table(self._merge)
 
+    @cached_property
+    def inner(self):
+        """The model for a word's part that goes on: without the end-of-word suffix."""
+        return self._part()
+
     @staticmethod
     def _word_pattern(spec: dict):
         """The pattern of the words, if the file is of the kind whose words can be told apart beforehand:
