@@ -41,7 +41,7 @@ from markspark.llm.common import stored
 #: Characters of a text, or of a word's symbols, encoded at once.
 PIECE = 65_536
 #: Blank-separated chunks kept in a worker's table, and the longest one kept.
-TABLE_WORDS, TABLE_CHARS = 150_000, 64
+TABLE_WORDS, TABLE_CHARS = 60_000, 64
 #: Characters that NFC leaves alone, whose lower case is one character and whose classes all libraries share.
 _PLAIN = re.compile("[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u017E]*")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on (fixed rule).
@@ -72,7 +72,7 @@ class _Table(dict):
         for chunk in self.long:
             del self[chunk], self.text[chunk]
         self.long = []
-        if len(self) > TABLE_WORDS:
+        if len(self) > TABLE_WORDS:  # a worker is used again by other stages, so what it keeps has to stay small
             self.old = dict(self), self.text
             self.clear()
             self.text = {}
@@ -290,6 +290,7 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
                 found = codec.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.binary()),
                                                   pa.array([x for _, x in found], pa.string())], names=["doc_id", "ids", "decoded"])
+        codec.table.old = {}, {}
 
     def cut(batches):
         codec = _codec(path)
