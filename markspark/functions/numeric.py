@@ -63,11 +63,11 @@ def vec_columns(col, n: int, prefix: str = "emb_dim_") -> list[Column]:
     return [_c(col)[i].alias(f"{prefix}{i}") for i in range(n)]
 
 
-def md5_unit(*parts) -> Column:
-    """A portable pseudo-random number in [0, 2**32) from md5 of the parts.
+def md5_unit(*parts, digits: int = 8) -> Column:
+    """A portable pseudo-random number in [0, 16**digits) from md5 of the parts (15 digits at most).
 
     The same md5 text is produced by every SQL engine, so seeded choices stay
     checkable against an oracle (``rand(seed)`` is not portable).
     """
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, digits), 16, 10).cast("bigint")

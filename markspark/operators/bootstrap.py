@@ -28,7 +28,7 @@ def draws(spark, n: int, rounds: int, seed: int) -> DataFrame:
     r = spark.range(0, total, 1, parts)
     rnd = F.floor(F.col("id") / F.lit(n)).cast("int")
     k = F.col("id") % F.lit(n)
-    return r.select(rnd.alias("round"), (md5_unit(F.lit(seed), rnd, k) % F.lit(n)).alias("idx"))
+    return r.select(rnd.alias("round"), (md5_unit(F.lit(seed), rnd, k, digits=15) % F.lit(n)).alias("idx"))
 
 
 def poisson1_cdf(kmax: int = 16) -> list[float]:
@@ -82,7 +82,7 @@ def bootstrap(scored: DataFrame, key: list[str], rounds: int = 30, seed: int = 4
     if method == "poisson":
         rnd = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
         x = slim.select("*", rnd)
-        u = md5_unit(F.lit(seed), F.col("round"), *[F.col(k) for k in key]).cast("double") / F.lit(4294967296.0)
+        u = md5_unit(F.lit(seed), F.col("round"), *[F.col(k) for k in key], digits=15).cast("double") / F.lit(float(1 << 60))
         # u gets its own column so the md5 is computed once per row, not per CASE
         # branch; rows drawn 0 times stay (weight 0 adds nothing) so that no
         # filter pulls the CASE, and with it the md5, below that column

@@ -85,6 +85,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, width: float | N
     """Equal-width histogram over [min, max] with ``bins`` bins, or
     ``int((max - min) / width)`` bins; the maximum falls in the last bin.
     Output: bin (0-based), lo, hi, n (and share when ``normalize``)."""
+    df = df.filter(~F.isnan(F.col(col).cast("double")))  # NaN is missing, like null
     mm = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"),
                 F.count(col).alias("n")).first()
     lo, hi, total = mm["lo"], mm["hi"], mm["n"]

@@ -1,8 +1,8 @@
 """Temperature scaling.
 
 The loss ``mean BCE(z / T, y)`` is convex in beta = 1/T, so Newton's method
-on beta converges in a few steps; each step is one aggregate over a cached
-two-column table, and only three numbers travel to the driver per step.
+on beta converges in a few damped steps; each is one aggregate over a cached
+table of (logit, label, count), and only three numbers travel to the driver.
 """
 
 from __future__ import annotations
@@ -38,38 +38,64 @@ def temperature_grid(scored: DataFrame, grid: list[float], prob: str = "prob", l
     return one.select(F.explode(arr).alias("_g")).select("_g.*")
 
 
-def fit_temperature(scored: DataFrame, prob: str = "prob", label: str = "label",
+def fit_temperature(scored: DataFrame, prob: str = "prob", label: str = "label", logit_1: str = "logit_1",
                     max_iter: int = 50, tol: float = 1e-10) -> dict:
-    """The temperature minimising mean BCE(logit(prob) / T, label).
+    """The temperature minimising mean BCE(logit / T, label).
 
-    Returns ``{"temperature", "beta", "iterations", "loss"}``.
+    The logit is the stored ``logit_1`` where there is one (finite for every
+    row), else that of ``prob``. Rows are counted per (logit, label) once; each
+    Newton step on beta = 1/T is halved until beta stays positive and the loss
+    falls, so confident wrong scores (whose best beta is near 0) end at a small
+    positive beta instead of diverging.
+
+    Returns ``{"temperature", "beta", "iterations", "loss", "converged"}``; all
+    None / False for an empty table.
     """
-    zt = logits_table(scored, prob, label).persist(StorageLevel.MEMORY_AND_DISK)
-    beta, it = 1.0, 0
+    if logit_1 in scored.columns:
+        rows = scored.select(F.col(logit_1).cast("double").alias("z"), F.col(label).cast("double").alias("y")).dropna()
+    else:
+        rows = logits_table(scored, prob, label)
+    zt = rows.groupBy("z", "y").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    n, z, y = F.col("n"), F.col("z"), F.col("y")
+
+    def at(beta: float):
+        x = F.lit(beta) * z
+        s = sigmoid(x)
+        return zt.agg((F.sum(n * bce_with_logits(x, y)) / F.sum(n)).alias("loss"),
+                      (F.sum(n * (s - y) * z) / F.sum(n)).alias("g"),
+                      (F.sum(n * s * (F.lit(1.0) - s) * z * z) / F.sum(n)).alias("h")).first()
+
+    beta, it, converged = 1.0, 0, False
     try:
+        now = at(beta)
+        if now["loss"] is None:
+            return {"temperature": None, "beta": None, "iterations": 0, "loss": None, "converged": False}
         for it in range(1, max_iter + 1):
-            x = F.lit(beta) * F.col("z")
-            s = sigmoid(x)
-            r = zt.agg(F.avg((s - F.col("y")) * F.col("z")).alias("g"),
-                       F.avg(s * (F.lit(1.0) - s) * F.col("z") * F.col("z")).alias("h")).first()
-            if r["h"] is None or r["h"] <= 0:
-                break
-            step = r["g"] / r["h"]
-            beta -= step
-            if abs(step) < tol * max(1.0, abs(beta)):
+            step = now["g"] / now["h"] if now["h"] else now["g"]
+            new, after, share = beta, now, 1.0
+            while share > 1e-9:
+                tried = beta - share * step
+                if tried > 0:
+                    got = at(tried)
+                    if got["loss"] <= now["loss"] - 1e-4 * share * step * now["g"]:
+                        new, after = tried, got
+                        break
+                share /= 2
+            moved, beta, now = abs(new - beta), new, after
+            if moved < tol * max(1.0, abs(beta)):
+                converged = abs(now["g"]) < 1e-6
                 break
-        loss = zt.agg(F.avg(bce_with_logits(F.lit(beta) * F.col("z"), F.col("y")))).first()[0]
     finally:
         zt.unpersist()
-    return {"temperature": 1.0 / beta, "beta": beta, "iterations": it, "loss": loss}
+    return {"temperature": 1.0 / beta, "beta": beta, "iterations": it, "loss": now["loss"], "converged": converged}
 
 
 def fit_temperature_df(scored: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:
-    """E10 as a one-row table (temperature, iterations, loss)."""
+    """E10 as a one-row table (temperature, iterations, loss, converged)."""
     r = fit_temperature(scored, prob, label)
     spark: SparkSession = scored.sparkSession
-    return spark.createDataFrame([(float(r["temperature"]), int(r["iterations"]), float(r["loss"]))],
-                                 "temperature double, iterations int, loss double")
+    return spark.createDataFrame([(r["temperature"], int(r["iterations"]), r["loss"], r["converged"])],
+                                 "temperature double, iterations int, loss double, converged boolean")
 
 
 def apply_temperature(scored: DataFrame, temperature: float, logit_1: str = "logit_1",

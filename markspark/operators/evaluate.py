@@ -134,7 +134,8 @@ def youden_threshold(scored: DataFrame, prob="prob", label="label", by: list[str
 def report_at_youden(scored: DataFrame, prob="prob", label="label") -> DataFrame:
     """E7 at the E6 threshold (the threshold is a one-row table, broadcast)."""
     th = youden_threshold(scored, prob, label).first()["threshold"]  # one scalar
-    return report_at(scored, float(th), prob, label).withColumn("threshold", F.lit(float(th)))
+    t = F.lit(th).cast("double")  # null for an empty table: the report has its classes with no rows
+    return report_at(scored, t, prob, label).withColumn("threshold", t)
 
 
 def uniform_bin(col, bins: int) -> Column:

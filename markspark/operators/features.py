@@ -32,7 +32,8 @@ def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame
                      token_col: str = "token", vec_col: str = "vector", out: str = "vector") -> DataFrame:
     """M1: mean word vector of each text's lower-case whitespace tokens.
 
-    Tokens without a vector are skipped; a text with none gets no row. The
+    Tokens without a vector are skipped; a text with none (or null) gets the
+    zero vector, so every row of ``df`` has one. The
     mean is one hash aggregate with a column per dimension (codegen, partial
     aggregation per task), so no per-text list is collected and no row is
     exploded per dimension.
@@ -42,7 +43,8 @@ def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame
     wv = word_vectors.select(token_col, *[F.col(vec_col)[i].cast("double").alias(f"_d{i}") for i in range(dims)])
     j = t.join(maybe_broadcast(wv, row_bytes=64 + 8 * dims), token_col)
     g = j.groupBy(key).agg(*[F.avg(f"_d{i}").alias(f"_d{i}") for i in range(dims)])
-    return g.select(key, F.array(*[F.col(f"_d{i}") for i in range(dims)]).alias(out))
+    return df.select(key).join(g, key, "left").select(
+        key, F.array(*[F.coalesce(f"_d{i}", F.lit(0.0)) for i in range(dims)]).alias(out))
 
 
 def vector_diff(df: DataFrame, key: str, a: str, b: str, word_vectors: DataFrame, out: str = "v") -> DataFrame:

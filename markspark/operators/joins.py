@@ -112,9 +112,9 @@ def lexicon_indicator(df: DataFrame, key: str, text: str, lexicon: DataFrame,
 
 
 def apply_translation(df: DataFrame, translations: DataFrame, keys: list[str],
-                      mark: str = "mark_id_char", translated: str = "mark_translated",
+                      mark: str = "mark_processed", translated: str = "mark_translated",
                       out: str = "mark_final", sentinel: str = "-1") -> DataFrame:
-    """Inner join to a translation table; the sentinel keeps the original text."""
+    """Inner join to a translation table; the sentinel keeps the processed mark."""
     j = df.join(translations.select(*keys, translated), on=keys, how="inner")
     return j.withColumn(out, F.when(F.col(translated) == F.lit(sentinel), F.col(mark))
                         .otherwise(F.col(translated)))

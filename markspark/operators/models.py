@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,20 +31,15 @@ def train_gbt(df: DataFrame, features: str = "features", label: str = "label", m
     return gbt.fit(df)
 
 
-def text_pipeline(text: str = "text", label: str = "label", max_tokens: int | None = None,
+def text_pipeline(text: str = "text", label: str = "label",
                   num_features: int = 1 << 18, reg: float = 0.0, max_iter: int = 100) -> Pipeline:
-    """M5: whitespace tokens -> hashed term frequencies -> IDF -> logistic
-    regression (two logits). ``max_tokens`` keeps the first tokens only, as
-    a model input limit; by default the whole text is used."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\s+", toLowercase=True)]
-    tok = "_tokens"
-    if max_tokens:
-        stages.append(SQLTransformer(statement=f"SELECT *, slice(_tokens, 1, {int(max_tokens)}) AS _tokens_cut FROM __THIS__"))
-        tok = "_tokens_cut"
-    stages += [HashingTF(inputCol=tok, outputCol="_tf", numFeatures=num_features),
-               IDF(inputCol="_tf", outputCol="_tfidf"),
-               LogisticRegression(featuresCol="_tfidf", labelCol=label, regParam=reg, maxIter=max_iter)]
-    return Pipeline(stages=stages)
+    """M5: whitespace tokens of the whole text -> hashed term frequencies -> IDF -> logistic
+    regression (two logits)."""
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\s+", toLowercase=True),
+        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
+        IDF(inputCol="_tf", outputCol="_tfidf"),
+        LogisticRegression(featuresCol="_tfidf", labelCol=label, regParam=reg, maxIter=max_iter)])
 
 
 def train_text_classifier(df: DataFrame, text: str = "text", label: str = "label", **kw) -> PipelineModel:

@@ -67,6 +67,16 @@ def _bounded(small: DataFrame, pb: list[str]) -> DataFrame:
     return F.broadcast(small) if not pb else local_broadcast(small, _OFFSETS_MAX)
 
 
+def _null_safe(s: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on equal or equally null keys, so a null group keeps its rows."""
+    right = small.withColumnsRenamed({c: f"_k_{c}" for c in on})
+    cond = None
+    for c in on:
+        eq = s[c].eqNullSafe(right[f"_k_{c}"])
+        cond = eq if cond is None else cond & eq
+    return s.join(right, cond).drop(*[f"_k_{c}" for c in on])
+
+
 def global_index(df: DataFrame, order: list, partition_by: list[str] | None = None,
                  out: str = "idx", total: str | None = "n_total") -> DataFrame:
     """0-based position of each row in ``order`` (within ``partition_by`` groups).
@@ -76,7 +86,7 @@ def global_index(df: DataFrame, order: list, partition_by: list[str] | None = No
     pb = list(partition_by or [])
     s = sorted_positions(df, order, pb)
     small = _offsets(s, pb, {}).select(*pb, "_pid", "_first", "_off", "_n")
-    j = s.join(_bounded(small, pb), on=[*pb, "_pid"], how="inner")
+    j = _null_safe(s, _bounded(small, pb), [*pb, "_pid"])
     j = j.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first"))
     if total:
         j = j.withColumn(total, F.col("_n"))
@@ -105,7 +115,7 @@ def prefix_sums(df: DataFrame, order: list, values: dict[str, Column | str],
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for k in vals:
         s = s.withColumn(f"_w_{k}", F.coalesce(F.sum(f"_v_{k}").over(frame), F.lit(0)))
-    j = s.join(_bounded(small.select(*keep), pb), on=[*pb, "_pid"], how="inner")
+    j = _null_safe(s, _bounded(small.select(*keep), pb), [*pb, "_pid"])
     for k in vals:
         j = j.withColumn(f"cum_{k}", F.col(f"_o_{k}") + F.col(f"_w_{k}"))
         if with_totals:
@@ -155,14 +165,6 @@ def decile_chart(scored: DataFrame, cuts: int = 10, prob: str = "prob", label: s
                                          "acc", "prec", "recall", "f1")
 
 
-def truncate_to_batch(df: DataFrame, order: list, batch: int = 16,
-                      partition_by: list[str] | None = None) -> DataFrame:
-    """Keep the first ``n - n % batch`` rows in ``order`` (per group)."""
-    ix = global_index(df, order, partition_by)
-    keep = F.col("idx") < F.col("n_total") - F.col("n_total") % F.lit(batch)
-    return ix.filter(keep).drop("idx", "n_total")
-
-
 def topk(df: DataFrame, by: list[str] | None, score: str, k: int = 10,
          key: list[str] | None = None, rank_col: str = "rank") -> DataFrame:
     """The ``k`` highest scores per group (ties broken by ``key``).

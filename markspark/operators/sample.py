@@ -6,15 +6,11 @@ run, on every cluster size, and by the SQL oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspark.operators.order import global_index
 
-# Spark plans ``row_number() <= n`` with a per-partition group limit (rows
-# beyond n never leave the map task) up to this n.
-_GROUP_LIMIT_MAX = 1000
-
 
 def seeded_key(seed: int, key: list[str]) -> Column:
     """md5 of ``seed|key...`` as hex text (orders rows pseudo-randomly)."""
@@ -25,20 +21,15 @@ def sample_per_group(df: DataFrame, by: list[str], n: int, seed: int, key: list[
                      strict: bool = False, tie: list[str] | None = None) -> DataFrame:
     """``n`` rows per group without replacement (the n smallest md5 keys).
 
-    Small ``n``: ``row_number`` with a per-partition group limit, so a hot
-    group ships at most n rows per task to the shuffle. Large ``n``: the
-    sort-based global index per group, which splits a hot group over tasks.
+    One path for every ``n``: rows are numbered by the sort-based global index,
+    which splits a hot group over tasks; a null group is a group.
     ``strict`` raises when a group has fewer than ``n`` rows; ``tie`` orders
     rows whose key repeats.
     """
     h = seeded_key(seed, key)
     order_cols = [F.col(k) for k in key] + [F.col(t) for t in (tie or [])]
-    if n <= _GROUP_LIMIT_MAX:
-        w = Window.partitionBy(*by).orderBy(h, *order_cols)
-        out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-    else:
-        ix = global_index(df.withColumn("_h", h), [F.col("_h"), *order_cols], by)
-        out = ix.filter(F.col("idx") < n).drop("idx", "n_total", "_h")
+    ix = global_index(df.withColumn("_h", h), [F.col("_h"), *order_cols], by)
+    out = ix.filter(F.col("idx") < n).drop("idx", "n_total", "_h")
     if strict:
         short = df.groupBy(*by).count().filter(F.col("count") < n).limit(1).count()
         if short:

@@ -20,7 +20,7 @@ from markspark.sources.tables import load
 KEY = ad.SCORE_KEY
 TEMP_GRID = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
 FIXED_T = 0.75
-BOOT_ROUNDS, BOOT_SEED = 5, 42
+BOOT_ROUNDS, BOOT_SEED = 30, 42
 
 
 def _scored(spark, sf):
@@ -149,16 +149,6 @@ def q_decile_chart(spark, sf):
     return order.decile_chart(_scored(spark, sf), 10, key=KEY + ["label", "pred"])
 
 
-@query("truncate_batch", "P12", with_(["scored"], f"""
-select {SCORE_KEYS}, l_linestatus from (
-  select *, row_number() over (partition by l_linestatus order by {SCORE_KEYS}) - 1 as idx,
-    count(*) over (partition by l_linestatus) as n from scored) t
-where idx < n - n % 16"""))
-def q_truncate_batch(spark, sf):
-    s = _scored(spark, sf).select(*KEY, "l_linestatus")
-    return order.truncate_to_batch(s, KEY, 16, ["l_linestatus"])
-
-
 def _bce_sql(x: str) -> str:
     return f"(greatest({x}, 0.0::double) + ln(1.0::double + exp(-abs({x}))) - ({x}) * y)"
 
@@ -193,7 +183,7 @@ def q_temperature_fit(spark, sf):
 CTE["boot_ix"] = f"""
 select label, prob, pred, row_number() over (order by {SCORE_KEYS}, prob, label, pred) - 1 as idx from scored"""
 CTE["boot_draws"] = f"""
-select r.round, (('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', cast(r.round as varchar), cast(k.idx as varchar))), 1, 8))::bigint
+select r.round, (('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', cast(r.round as varchar), cast(k.idx as varchar))), 1, 15))::bigint
     % (select count(*) from scored)) as idx
 from (select unnest(range({BOOT_ROUNDS})) as round) r, boot_ix k"""
 CTE["boot_rows"] = "select d.round, b.label, b.prob, b.pred from boot_draws d join boot_ix b on d.idx = b.idx"
@@ -337,8 +327,8 @@ def q_quantile_table(spark, sf):
 def _poisson_sql() -> str:
     from markspark.operators.bootstrap import poisson1_cdf
     keys = ", ".join(f"cast({k} as varchar)" for k in KEY)
-    u = (f"(('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', cast(r.round as varchar), {keys})), 1, 8))::bigint"
-         f"::double / 4294967296.0::double)")
+    u = (f"(('0x' || substr(md5(concat_ws('|', '{BOOT_SEED}', cast(r.round as varchar), {keys})), 1, 15))::bigint"
+         f"::double / 1152921504606846976.0::double)")
     cases = " ".join(f"when {u} < {dbl(c)} then {k}" for k, c in enumerate(poisson1_cdf()))
     return f"select r.round, s.label, s.prob, s.pred, case {cases} else 16 end as w " \
            f"from scored s, (select unnest(range({BOOT_ROUNDS})) as round) r"

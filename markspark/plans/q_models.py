@@ -35,9 +35,10 @@ select l.token, e.embedding as vector from lexicon l join embeddings e
 CTE["doc_tokens"] = """
 select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as token from documents"""
 CTE["doc_vec"] = """
-select doc_id, cast(dim as integer) as dim, avg(v) as value from (
+select k.doc_id, cast(k.dim as integer) as dim, coalesce(avg(x.v), 0.0) as value
+from (select doc_id, unnest(range(0, (select max(len(vector)) from wv))) as dim from documents) k left join (
   select t.doc_id, unnest(range(0, len(w.vector))) as dim, unnest(w.vector) as v
-  from doc_tokens t join wv w on t.token = w.token) x group by doc_id, dim"""
+  from doc_tokens t join wv w on t.token = w.token) x on x.doc_id = k.doc_id and x.dim = k.dim group by k.doc_id, k.dim"""
 VEC = ["lexicon", "wv", "doc_tokens", "doc_vec"]
 
 
@@ -68,10 +69,11 @@ select a.conv_id, a.t as a, b.t as b from
 
 def _vec_sql(col):
     return f"""
-select conv_id, cast(dim as integer) as dim, avg(v) as value from (
+select k.conv_id, cast(k.dim as integer) as dim, coalesce(avg(x.v), 0.0) as value
+from (select conv_id, unnest(range(0, (select max(len(vector)) from wv))) as dim from conv_ab) k left join (
   select t.conv_id, unnest(range(0, len(w.vector))) as dim, unnest(w.vector) as v
   from (select conv_id, unnest(list_filter(regexp_split_to_array(lower({col}), '\\s+'), lambda x: x <> '')) as token
-        from conv_ab) t join wv w on t.token = w.token) x group by conv_id, dim"""
+        from conv_ab) t join wv w on t.token = w.token) x on x.conv_id = k.conv_id and x.dim = k.dim group by k.conv_id, k.dim"""
 
 
 @query("vector_diff", "M2 F18", with_(["lexicon", "wv", "conv_ab"], f"""
@@ -126,7 +128,7 @@ def _split(df, key):
 
 
 GBT_ITER, GBT_DEPTH = 20, 5  # registered query sizes; the operator defaults are 500 / 7
-TEXT_FEATURES, TEXT_ITER = 1 << 16, 30  # registered query sizes; the operator defaults are 2**18 / 100
+TEXT_FEATURES, TEXT_ITER = 1 << 18, 100  # the operator defaults
 
 
 def _gbt(spark, sf):

@@ -51,14 +51,15 @@ def q_lexicon_flag(spark, sf):
 
 
 def translated(spark: SparkSession, sf: str) -> DataFrame:
-    """Cases with their final mark (sentinel keeps the original)."""
-    c = ad.cases(spark, sf).select("serial_no", "filing_dt", "mark_id_char")
-    return joins.apply_translation(c, ad.translations(spark, sf), ["serial_no", "filing_dt"])
+    """Cases with their final mark (sentinel keeps the processed mark)."""
+    c = (ad.cases(spark, sf).select("serial_no", "filing_dt", "mark_id_char")
+         .withColumn("mark_processed", text.strip_punct("mark_id_char")))
+    return joins.apply_translation(c, ad.translations(spark, sf), ["serial_no", "filing_dt"]).drop("mark_processed")
 
 
-CTE["translated"] = """
+CTE["translated"] = f"""
 select c.serial_no, c.filing_dt, c.mark_id_char, t.mark_translated,
-  case when t.mark_translated = '-1' then c.mark_id_char else t.mark_translated end as mark_final
+  case when t.mark_translated = '-1' then regexp_replace(c.mark_id_char, '{PUNCT}', '', 'g') else t.mark_translated end as mark_final
 from cases c join translations t on c.serial_no = t.serial_no and c.filing_dt = t.filing_dt"""
 
 

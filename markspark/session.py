@@ -48,18 +48,11 @@ def get_session(master: str | None = None, app: str = "markspark",
 
 
 def configure(spark: SparkSession) -> None:
-    """Pin the settings results depend on (time zone), keep the rest.
+    """Make sure a checkpoint folder is set; the caller's session settings stay as they are.
 
-    Broadcast joins are planned from measured sizes only: the static,
-    estimate-based broadcast is turned off unless the cluster configured it,
-    while AQE keeps converting joins whose shuffled side is measured small.
+    Joins are planned with the session's own broadcast threshold; explicit
+    hints are given only for sides whose size is bounded or measured.
     """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    launch = spark.sparkContext.getConf()
-    if not launch.contains("spark.sql.autoBroadcastJoinThreshold"):
-        if not launch.contains("spark.sql.adaptive.autoBroadcastJoinThreshold"):
-            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     checkpoint_dir(spark)
 
 
