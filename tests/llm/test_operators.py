@@ -267,7 +267,7 @@ def test_licences(spark):
 
 def test_heavy_terms_are_necessary():
     unit, idf, other = licenses.weights(licenses.TEMPLATES)
-    heavy = set(licenses.heavy_terms(unit, 0.6))
+    heavy = set(licenses.heavy_terms(unit, 0.75))
     rng = random.Random(2)
     vocab = sorted(idf) + ["zz"]
     for _ in range(3000):
@@ -275,7 +275,7 @@ def test_heavy_terms_are_necessary():
         w = {t: line.count(t) * idf.get(t, other) for t in line}
         size = math.sqrt(sum(x * x for x in w.values()))
         best = max(sum(w.get(t, 0) * u for t, u in x.items()) / size for x in unit.values())
-        assert best < 0.6 or heavy & set(line)
+        assert best < 0.75 or heavy & set(line)
 
 
 # --- 7 ---
