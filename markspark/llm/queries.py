@@ -55,14 +55,14 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(docs: DataFrame) -> DataFrame:
     """Documents as files (path, text): a folder for each source, language and thousand of ids; a document
     whose last line speaks of a licence is its folder's licence file."""
-    last = F.lower(F.element_at(F.split("text", "\n", -1), -1))
+    last = F.lower(F.substring_index("text", "\n", -1))
     name = F.when(last.contains("licen"), F.lit("LICENSE-")).otherwise(F.lit("doc-"))
     folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"))
     return docs.select("doc_id", F.concat(folder, F.lit("/"), F.coalesce(name, F.lit("doc-")), F.col("doc_id").cast("string")).alias("path"), "text")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(files(table(spark, sf_dir, "documents")))
+    return licenses.scan(files(table(spark, sf_dir, "documents")), carry=("doc_id",))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,33 @@ def test_heavy_terms_are_necessary():
         assert best < 0.75 or heavy & set(line)
 
 
+def test_licence_cosine_against_brute_force(spark):
+    unit, idf, other = licenses.weights(licenses.TEMPLATES)
+    rng = random.Random(4)
+    vocab = sorted(idf) + ["zz", "yy"]
+
+    def line():
+        start = licenses.terms(rng.choice(list(licenses.TEMPLATES.values())))
+        return " ".join(start + [rng.choice(vocab) for _ in range(rng.randint(0, 5))]).upper()
+
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 4))) for _ in range(200)] + ["", None, "license " * 30_000]
+
+    def brute(text):
+        found = []
+        for x in (text or "").split("\n"):
+            t = licenses.terms(x)
+            size = math.sqrt(sum((t.count(a) * idf.get(a, other)) ** 2 for a in set(t)))
+            found += [(-round(sum(t.count(a) * idf[a] * u for a, u in w.items()) / size, 6), n) for n, w in unit.items() if size]
+        c, n = min(found, default=(0, None))
+        return (None, None) if c > -0.75 else (n, -c)
+
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("path", licenses.F.lit("p"))
+    got = {r.doc_id: (r.licence, r.cosine) for r in licenses.scan(d, carry=("doc_id",)).collect()}
+    for i, t in enumerate(texts):
+        name, c = brute(t)
+        assert got[i][0] == name and (c is None or abs(got[i][1] - c) < 2e-6), (i, t, got[i])
+
+
 # --- 7 ---
 
 def brute_groups(rows, k, percent):
