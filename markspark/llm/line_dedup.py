@@ -9,8 +9,8 @@ removed from every document but the first that holds them (smallest doc_id),
 so no text is lost from the corpus.
 
 A document's own lines stay in it, the occurrences of a boilerplate line (a
-third of all documents may hold it) are joined with one row per line, and only
-positions are gathered, one list for each document.
+third of all documents may hold it) are salted and joined with copies of the
+line's one row, and only positions are gathered, one list for each document.
 
 Defined results: a null text stays null and has no lines; blank lines are
 neither counted nor removed; a null site is no site, but its documents lose
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Sketch size (2^10 registers, about 3.3 % standard error) and four standard errors as the exact band.
 LG_K, BAND = 10, 0.13
+#: Occurrences of one line are joined in so many places, each with its copy of the line's one row.
+SALTS = 32
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -36,6 +38,14 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
     return rows.select("doc_id", "th", *more, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def _salted(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "pos"), F.lit(SALTS)).cast("int"))
+
+
+def _copies(per_line: DataFrame) -> DataFrame:
+    return per_line.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def boilerplate(docs: DataFrame, min_sites: int, band: float = BAND) -> DataFrame:
     """(h1, h2, none, first_id, first_th): lines on at least ``min_sites`` sites and the first document of each."""
     lines = _lines(docs, "site")
@@ -44,7 +54,7 @@ def boilerplate(docs: DataFrame, min_sites: int, band: float = BAND) -> DataFram
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     spread = spread.filter(F.col("sites") >= int(min_sites * (1 - band)))
     near = spread.filter(F.col("sites") <= int(min_sites * (1 + band)) + 1)
-    exact = (lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("x"))
+    exact = (_salted(lines).join(_copies(near.select("h1", "h2")), ["h1", "h2", "salt"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("x"))
              .groupBy("h1", "h2").agg(F.count("site").alias("exact")))
     found = (spread.join(exact, ["h1", "h2"], "left")
              .filter(F.coalesce("exact", "sites") >= min_sites))
@@ -56,7 +66,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10) -> D
     own = docs.withColumn("__th", F.xxhash64("text"))
     slim = own.select(F.col("doc_id").alias("doc_id"), F.col("__th").alias("th"), F.col(site).cast("string").alias("site"), "text")
     bad = boilerplate(slim, min_sites)
-    hits = _lines(slim).join(bad, ["h1", "h2"]).filter(
+    hits = _salted(_lines(slim)).join(_copies(bad), ["h1", "h2", "salt"]).filter(
         ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))))
     lists = hits.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__at")).select(
         F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "__at")
