@@ -62,7 +62,7 @@ def files(docs: DataFrame) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(files(table(spark, sf_dir, "documents")), carry=("doc_id",))
+    return licenses.scan(files(table(spark, sf_dir, "documents")), least=0.6, carry=("doc_id",))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,6 +305,42 @@ def test_licence_cosine_against_brute_force(spark):
         assert got[i][0] == name and (c is None or abs(got[i][1] - c) < 2e-6), (i, t, got[i])
 
 
+def test_licence_titles_headers_and_files(spark):
+    """What op6 found before its least cosine was raised, and notices that no single line holds."""
+    wrapped = ("# Copyright 2020 Foo\n#\n# This file is part of Foo, a tool for bars.\n#\n# Permission is hereby granted, free of charge, to any\n# person obtaining a\n"
+               "# copy of this software and associated\n# documentation files (the \"Software\"), to deal in the\n# Software without restriction, including\n"
+               "# without limitation the rights to use, copy,\n# modify, merge, publish, distribute,\n# sublicense, and/or sell copies of the Software, and\n"
+               "# to permit persons to whom the Software\n# is furnished to do so, subject to the following\n# conditions:\nimport os\n")
+    gnu = licenses._GNU.split()
+    header = "\n".join(" * " + " ".join(gnu[i:i + 5]) for i in range(0, len(gnu), 5))
+    rows = [("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("GNU GENERAL PUBLIC LICENSE", "GPL-3.0"),
+            ("Copyright 2020 Foo. All rights reserved.", "Proprietary"), ("the rights of all", None),
+            ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "BSD-3-Clause"),
+            (wrapped, "MIT"), (header.format("", "2"), "GPL-2.0"), (header.format("", "3"), "GPL-3.0"), (header.format("Lesser ", "3"), "LGPL-3.0"),
+            ("/* Use of this source code is\ngoverned by a BSD-style\nlicense that can be found in\nthe LICENSE file. */", "BSD-3-Clause"),
+            ("It is not the use of the software in the copy of a file but the name of the person, and you may see it.", None), ("", None), (None, None)]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string").selectExpr("doc_id", "text", "concat('p', doc_id) path")
+    got = {r.doc_id: r.licence for r in licenses.scan(d, least=0.6, carry=("doc_id",)).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, x in rows]
+
+
+def test_fewest_terms_are_necessary():
+    unit, idf, other = licenses.whole_weights(licenses.WHOLE)
+    rng = random.Random(6)
+    for u in unit.values():
+        rare, k = licenses.fewest(u, 0.6)
+        assert k >= 1
+        for _ in range(200):
+            line = {*rng.choices([*rare, "zz"], k=rng.randint(1, 12)), *rng.choices(sorted(licenses.EVERYDAY & set(idf)), k=rng.randint(0, 40))}
+            size = math.sqrt(sum(idf.get(t, other) ** 2 for t in line))
+            assert sum(idf[t] * v for t, v in u.items() if t in line) / size < 0.6 or len(set(rare) & line) >= k
+
+
+def test_op6_has_the_lower_least(spark, tmp_path):
+    docs(spark, [(1, "words\nMIT License", "s"), (2, "words", "t")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.licence for r in queries.op6_licenses(spark, str(tmp_path)).collect()} == {1: "MIT", 2: None}
+
+
 # --- 7 ---
 
 def brute_groups(rows, k, percent):
