@@ -73,10 +73,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = "word_bpe_49k", "byte_bpe_multi_50k"
     counts = stored(token_rollup.token_counts(table(spark, sf_dir, "documents"), vocabulary(f"{first}.json"),
-                                              vocabulary(f"{second}.tiktoken"), ["de"]), "counts")
+                                              vocabulary(f"{second}.tiktoken")), "counts")
     rollup = token_rollup.Rollup(spark, f"{checkpoint_dir(spark)}/llm-rollup-{counts.inputFiles()[0].rsplit('/', 2)[-2]}"
                                  if counts.inputFiles() else f"{checkpoint_dir(spark)}/llm-rollup-empty")
-    token_rollup.maintain(rollup, counts, first, second)
+    token_rollup.maintain_all(rollup, counts, first, second)
     return rollup.totals()
 
 

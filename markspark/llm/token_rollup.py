@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from markspark.llm.bpe import Codec, _codec
 
 KEYS = ["source", "lang", "version"]
+#: One document in so many is deleted and inserted again.
+WAVE = 7
 
 
 class Rollup:
@@ -71,15 +73,15 @@ def _count(path: str, texts: list[str]) -> list[int]:
     return [codec.count(t) for t in texts]
 
 
-def token_counts(docs: DataFrame, first: str, second: str, recounted: list[str]) -> DataFrame:
+def token_counts(docs: DataFrame, first: str, second: str, recounted: list[str] | None = None) -> DataFrame:
     """(doc_id, th, source, lang, n_first, n_second): tokens of whole texts with the vocabulary file ``first``, and
-    with ``second`` where the language is among ``recounted`` (else null)."""
+    with ``second`` of all of them, or where the language is among ``recounted`` (else null)."""
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = [t or "" for t in part.column(4).to_pylist()]
-                again = [lang in recounted for lang in part.column(3).to_pylist()]
+                again = [recounted is None or lang in recounted for lang in part.column(3).to_pylist()]
                 other = iter(_count(second, [t for t, x in zip(texts, again, strict=True) if x]))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:4], pa.array(_count(first, texts), pa.int64()),
@@ -104,3 +106,14 @@ def maintain(rollup: Rollup, counts: DataFrame, first: str, second: str) -> None
     revised = marked.filter("not copy and n_second is not null")
     rollup.commit(3, signed(revised, first, "n_first", -1).unionByName(signed(revised, second, "n_second", 1)))
     rollup.commit(2, gone)
+
+
+def maintain_all(rollup: Rollup, counts: DataFrame, first: str, second: str) -> None:
+    """The whole corpus under both versions, as four batches: insert every document; delete a wave of them; insert the
+    wave again; add the second version of every document. The second batch comes twice. The batches net to the table."""
+    wave = counts.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(WAVE)) == 0)
+    rollup.commit(1, signed(counts, first, "n_first", 1))
+    rollup.commit(2, signed(wave, first, "n_first", -1))
+    rollup.commit(3, signed(wave, first, "n_first", 1))
+    rollup.commit(4, signed(counts, second, "n_second", 1))
+    rollup.commit(2, signed(wave, first, "n_first", -1))

@@ -406,6 +406,22 @@ def test_token_rollup(spark, tmp_path):
     assert sorted(map(str, rollup.totals().collect())) == before
 
 
+def test_op8_counts_all_documents_under_both_versions(spark, tmp_path):
+    rows = [(1, "the cat", "en", "a"), (2, "the cat", "en", "a"), (3, "der Hund", "de", "a"), (4, None, None, None), (5, None, None, None),
+            (6, "der Hund", "de", "a"), (None, "the cat", "en", "b"), (6, "der Hund", "de", "a")]
+    rows += [(100 + i, "le chat noir", "fr", "c") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    v = {"word_bpe_49k": lambda t: len(bpe._codec(queries.vocabulary()).tok.encode(t, add_special_tokens=False).ids),
+         "byte_bpe_multi_50k": lambda t: len(token_rollup._ranks(queries.vocabulary("byte_bpe_multi_50k.tiktoken")).encode_ordinary(t))}
+    want = {}
+    for _, t, lang, source in rows:
+        for name, n in v.items():
+            d, k = want.get((source, lang, name), (0, 0))
+            want[source, lang, name] = (d + 1, k + n(t or ""))
+    got = queries.op8_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in got} == want
+
+
 # --- 9 ---
 
 def test_quality_prefers_text_like_the_target(spark):
