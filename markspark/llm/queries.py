@@ -13,7 +13,8 @@ from markspark.llm import bpe, decontaminate, licenses, line_dedup, near_dup, qu
 from markspark.llm.common import ship_code, stored, table
 from markspark.session import checkpoint_dir
 
-MIN_SITES = 10
+#: Low enough for a passage with some 20 copies of which a hot source holds half; copies on fewer sites are left to near-dedup.
+MIN_SITES = 5
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

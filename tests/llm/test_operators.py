@@ -139,6 +139,16 @@ def test_line_dedup_exact_band_overrules_the_sketch(spark):
         assert n == (989 if least <= 990 else 0)
 
 
+def test_op2_removes_passages_of_a_skewed_corpus(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{passage}\nown {i}\nhot {i % 12}", "hot" if i < 14 else f"s{i}") for i in range(20)]  # 20 copies, 14 of them on one site
+    rows += [(100 + i, f"few\nown {100 + i}", f"s{i % 4}") for i in range(20)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert [i for i, t in got.items() if passage in t] == [0]
+    assert all(got[100 + i].startswith("few\n") for i in range(20))
+
+
 # --- 3 ---
 
 def word_list(t):
