@@ -4,7 +4,9 @@ Two generative models are bags of hashed n-grams: the target (labelled good
 texts) and the raw corpus (all texts). A text's log weight is the sum of
 log(p_target / p_raw) over its n-grams; the selection is a sample without
 replacement with those weights, drawn as the top k of weight plus Gumbel
-noise. The n-grams are byte 5-grams, words, and word pairs (a repeated word
+noise, or of all rows over the key that parts the labelled good and bad texts
+with the fewest errors, so that the input's own mix decides how many stay. The
+n-grams are byte 5-grams, words, and word pairs (a repeated word
 counts as one common pair, as repetition is what matters there).
 
 The raw model counts every text. The target model counts at most
@@ -165,16 +167,43 @@ def threshold(docs: DataFrame, ratio: np.ndarray, share: float) -> float | None:
     return kth_largest(keys, min(n, max(1, round(share * n)))) if n else None
 
 
-def keep_share(labels: DataFrame, spare: float = 0.25) -> float:
-    """Share of the corpus to draw: that of good labels plus ``spare`` of the rest, so good texts near the edge stay."""
-    good, n = labels.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("quality")).first()
-    return 1.0 if not n else (good + spare * (n - good)) / n
+def best_cut(keys: DataFrame) -> float | None:
+    """The cut c with the fewest errors on ``keys(v, good)``, found in bins that are made finer around the best edge: a
+    row is selected if v >= c. Among equals the least; None (all rows) if no cut does better."""
+    keys = keys.filter("v is not null")
+    lo, hi, n_bad = keys.agg(F.min("v"), F.max("v"), F.sum((~F.col("good")).cast("long"))).first()
+    best, least = None, n_bad or 0
+    below_good, below_bad = 0, 0
+    while lo is not None and lo < hi:
+        bin_ = F.least(F.floor((F.col("v") - lo) / F.lit(hi - lo) * _BINS), F.lit(_BINS - 1))
+        rows = sorted(keys.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy(bin_.alias("b")).agg(
+            F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("x"), F.min("v").alias("lo"),
+            F.max("v").alias("hi")).collect(), key=lambda r: r.b)  # at most _BINS rows
+        good, bad, at, before = below_good, below_bad, None, [(below_good, below_bad)]
+        for i, r in enumerate(rows):
+            if i and good + n_bad - bad < least:  # the edge lies amid the gap: labelled good texts weigh more than others
+                best, least, at = (rows[i - 1].hi + r.lo) / 2, good + n_bad - bad, i
+            good, bad = good + r.g, bad + r.x
+            before.append((good, bad))
+        if at is None or (rows[at - 1].lo, rows[at].hi) == (lo, hi):
+            break
+        (below_good, below_bad), lo, hi = before[at - 1], rows[at - 1].lo, rows[at].hi
+    return best
+
+
+def learned_cut(docs: DataFrame, labels: DataFrame, ratio: np.ndarray) -> float | None:
+    """:func:`best_cut` of the keys of the labelled documents (None: no good label, all rows stay)."""
+    quality = (labels.filter("doc_id is not null and quality is not null")
+               .select(F.col("doc_id").alias("__id"), (F.col("quality") == 1).alias("good")).distinct())
+    found = docs.select("doc_id", "text").join(quality, F.col("doc_id") == F.col("__id")).drop("__id")
+    # equal rows have one key and count once
+    keys = stored(with_keys(found.distinct(), ratio).select(F.col("__key").alias("v"), "good"), "labelled-keys")
+    return best_cut(keys) if keys.filter("good").limit(1).count() else None
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
-    """``docs`` with __log_weight, __key and __selected."""
-    share = keep_share(labels) if share is None else share
+    """``docs`` with __log_weight, __key and __selected: the rows over the labelled documents' best cut, or the top ``share``."""
     ratio = fit(docs, labels.filter("quality = 1").select("doc_id"))
-    least = threshold(docs, ratio, share)
+    least = learned_cut(docs, labels, ratio) if share is None else threshold(docs, ratio, share)
     scored = with_keys(docs, ratio)
     return scored.withColumn("__selected", F.col("__key") >= F.lit(least) if least is not None else F.lit(True))

@@ -450,6 +450,26 @@ def test_quality_prefers_text_like_the_target(spark):
     assert all(r["__log_weight"] == 0 for r in out if r.doc_id in (2000, 2001))
 
 
+def test_quality_share_follows_the_input_not_the_labels(spark):
+    rng = random.Random(9)
+    vocab = [a + b for a in ("lo", "ra", "mi", "te") for b in ("na", "so", "ke", "pu")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(1000 + i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    for n_good, n_bad in ((300, 60), (60, 300)):
+        rows = [(i, " ".join(rng.choice(vocab) for _ in range(40)), "s") for i in range(n_good)]
+        rows += [(1000 + i, f"$$ ## {i} " * 30 + " ".join(["spam"] * 20), "s") for i in range(n_bad)]
+        chosen = {r.doc_id for r in quality.select_quality(docs(spark, rows), labels).collect() if r["__selected"]}
+        assert len(chosen & set(range(300))) >= 0.97 * n_good and len(chosen - set(range(300))) <= 0.03 * n_bad
+
+
+def test_best_cut(spark):
+    rng = random.Random(2)
+    rows = [(rng.gauss(2, 1), True) for _ in range(400)] + [(rng.gauss(-2, 1), False) for _ in range(300)] + [(-1e6, False), (1e6, True)]
+    cut = quality.best_cut(spark.createDataFrame(rows, "v double, good boolean"))
+    errors = lambda c: sum((v >= c) != g for v, g in rows)
+    assert errors(cut) == min(errors(c) for c, _ in rows)
+    assert quality.best_cut(spark.createDataFrame(rows[:400], "v double, good boolean")) is None
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     v = [rng.gauss(0, 100) for _ in range(30_000)] + [5.0] * 12_000
