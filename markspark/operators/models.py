@@ -78,17 +78,22 @@ def score_with(df: DataFrame, load_model: Callable[[], Callable], text: str, kee
     key_fields = [df.schema[k].simpleString() for k in keep]
     schema = ", ".join(key_fields) + ", logit_0 double, logit_1 double, error string"
 
+    def tried(predict, texts):
+        try:
+            l0, l1 = predict(texts)
+            return list(l0), list(l1), [None] * len(texts)
+        except Exception as e:  # noqa: BLE001
+            if on_error != "skip":
+                raise
+            if len(texts) < 2:
+                return [None] * len(texts), [None] * len(texts), [f"{type(e).__name__}: {e}"] * len(texts)
+        half = len(texts) // 2  # only the failing rows are left without a score
+        return tuple(x + y for x, y in zip(tried(predict, texts[:half]), tried(predict, texts[half:]), strict=True))
+
     def run(batches):
         predict = load_model()
         for b in batches:
-            try:
-                l0, l1 = predict(b[text].astype(str).tolist())
-                err = [None] * len(b)
-            except Exception as e:  # noqa: BLE001
-                if on_error != "skip":
-                    raise
-                l0 = l1 = [None] * len(b)
-                err = [f"{type(e).__name__}: {e}"] * len(b)
+            l0, l1, err = tried(predict, b[text].astype(str).tolist())
             out = b[keep].copy()
             out["logit_0"], out["logit_1"], out["error"] = pd.Series(l0, dtype="float64"), pd.Series(l1, dtype="float64"), err
             yield out

@@ -81,3 +81,18 @@ def test_approx_edges_close(spark):
     ex = bucket.quantile_edges(df, "x", [0.0, 0.5, 1.0])
     ap = bucket.quantile_edges(df, "x", [0.0, 0.5, 1.0], approx=True)
     assert ex[0] == ap[0] and ex[-1] == ap[-1] and abs(ex[1] - ap[1]) <= 2
+
+
+def test_score_with_skips_only_the_bad_row(spark):
+    from markspark.operators import models
+
+    def load():
+        def predict(texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            return [0.0] * len(texts), [float(len(t)) for t in texts]
+        return predict
+
+    df = spark.createDataFrame([(i, "bad" if i == 3 else "x" * i) for i in range(7)], "id int, text string").coalesce(1)
+    got = {r.id: (r.logit_1, r.error) for r in models.score_with(df, load, "text", ["id"], on_error="skip").collect()}
+    assert got == {i: (None, "ValueError: no") if i == 3 else (float(i), None) for i in range(7)}
