@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, decontaminate, licenses, line_dedup, near_dup, quality, shards, token_rollup, topk, toxicity
+from markspark.llm import bpe, decontaminate, filter_audit, licenses, line_dedup, near_dup, quality, shards, token_rollup, topk, toxicity
 from markspark.llm.common import ship_code, stored, table
 from markspark.session import checkpoint_dir
 
@@ -93,6 +93,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filter_audit.text_failures(F.col("__text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,7 +114,7 @@ def _ready(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_toxicity, op2_line_dedup, op3_decontamination, op4_topk, op5_shards, op6_licenses, op7_near_dup,
-             op8_token_counts, op9_quality, op10_bpe, pipeline]
+             op8_token_counts, op9_quality, op10_bpe, op13_filter_audit, pipeline]
     return {f.__name__: _ready(f) for f in found}
 
 
@@ -170,6 +174,35 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
 
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, step, x.name, x.bit, (SELECT coalesce(sum(y.bit), 0) FROM x y
+             WHERE position(y.name IN left(filter_order, (step - 1)::INT)) > 0)::INT AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) JOIN x ON x.name = substr(filter_order, step, 1)),
+p AS (SELECT DISTINCT part FROM c),
+r AS (SELECT p.part, filter_order, step::INT AS step, name,
+             coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER ((mask & before) <> 0 AND (mask & bit) <> 0), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0)::BIGINT AS toxic_lost
+      FROM p JOIN c USING (part), s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins where SQL can express the operator."""
-    return {"op2_line_dedup": _OP2, "op3_decontamination": _OP3, "op4_topk": _OP4, "op7_near_dup": _OP7}
+    return {"op2_line_dedup": _OP2, "op3_decontamination": _OP3, "op4_topk": _OP4, "op7_near_dup": _OP7, "op13_filter_audit": _OP13}
