@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, decontaminate, filter_audit, licenses, line_dedup, near_dup, quality, shards, token_rollup, topk, toxicity
+from markspark.llm import bpe, decontaminate, filter_audit, licenses, line_dedup, near_dup, quality, shards, suffix_tree, token_rollup, topk, toxicity
 from markspark.llm.common import ship_code, stored, table
 from markspark.session import checkpoint_dir
 
@@ -93,6 +93,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    docs = docs.select("doc_id", "text", F.coalesce(rest != 2, F.lit(False)).alias("learn"))
+    tree = suffix_tree.fit(docs.filter("learn").select(F.coalesce("text", F.lit("")).alias("text")))
+    return suffix_tree.score(docs, tree).select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                                                "train_tokens", "base_score", "score")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filter_audit.text_failures(F.col("__text")))
 
@@ -114,7 +123,7 @@ def _ready(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_toxicity, op2_line_dedup, op3_decontamination, op4_topk, op5_shards, op6_licenses, op7_near_dup,
-             op8_token_counts, op9_quality, op10_bpe, op13_filter_audit, pipeline]
+             op8_token_counts, op9_quality, op10_bpe, op11_lm_score, op13_filter_audit, pipeline]
     return {f.__name__: _ready(f) for f in found}
 
 
