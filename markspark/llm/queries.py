@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, decontaminate, filter_audit, licenses, line_dedup, near_dup, quality, shards, suffix_tree, token_rollup, topk, toxicity
+from markspark.llm import (bpe, decontaminate, filter_audit, licenses, line_dedup, near_dup, quality, shards, spelling, suffix_tree,
+                           token_rollup, topk, toxicity)
 from markspark.llm.common import ship_code, stored, table
 from markspark.session import checkpoint_dir
 
@@ -102,6 +103,10 @@ def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 "train_tokens", "base_score", "score")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filter_audit.text_failures(F.col("__text")))
 
@@ -123,7 +128,7 @@ def _ready(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_toxicity, op2_line_dedup, op3_decontamination, op4_topk, op5_shards, op6_licenses, op7_near_dup,
-             op8_token_counts, op9_quality, op10_bpe, op11_lm_score, op13_filter_audit, pipeline]
+             op8_token_counts, op9_quality, op10_bpe, op11_lm_score, op12_spelling, op13_filter_audit, pipeline]
     return {f.__name__: _ready(f) for f in found}
 
 
