@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ import zipfile
 from contextlib import suppress
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,13 @@ def ship_code(spark: SparkSession) -> None:
     spark.sparkContext._markspark_sent = True
 
 
+def give_back() -> None:
+    """Return the memory that a task has freed to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(col):
     """A-Z to a-z; other letters stay (Spark's lower() changes all scripts)."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
