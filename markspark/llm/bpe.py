@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import stored
+from markspark.llm.common import give_back, stored
 
 #: Characters of a text, or of a word's symbols, encoded at once.
 PIECE = 65_536
@@ -82,17 +82,15 @@ class Codec:
     """A vocabulary file: words to ids, ids to text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         spec = json.loads(self.tok.to_str())
         model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.final = self.tok.model
-        self._part = (lambda: models.BPE(vocab=model["vocab"], merges=merges)) if self.suffix else lambda: self.final
         self.names = {i: s for s, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.decoder = self.tok.decoder
@@ -101,8 +99,15 @@ class Codec:
 
     @cached_property
     def inner(self):
-        """The model for a word's part that goes on: without the end-of-word suffix."""
-        return self._part()
+        """The model for a word's part that goes on: without the end-of-word suffix. Few texts have words that need it, so the
+        file's merges are read again for them instead of being kept by every worker."""
+        from tokenizers import models
+
+        if not self.suffix:
+            return self.final
+        model = json.loads(self.tok.to_str())["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return models.BPE(vocab=model["vocab"], merges=merges)
 
     @staticmethod
     def _word_pattern(spec: dict):
@@ -291,6 +296,7 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.binary()),
                                                   pa.array([x for _, x in found], pa.string())], names=["doc_id", "ids", "decoded"])
         codec.table.old = {}, {}
+        give_back()
 
     def cut(batches):
         codec = _codec(path)
