@@ -326,11 +326,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, k, percent)
     none = F.lit(-1 << 63).cast("long")  # stands for a null id in the join below
     first = (found.filter("group_id is not null").groupBy("group_id")
-             .agg(F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", none).alias("k"), "th")).alias("f")).select("f.k", "f.th"))
-    keys = first.withColumn("one", F.lit(True)).unionByName(
-        found.filter("group_id is null").select(F.coalesce("doc_id", none).alias("k"), "th", F.lit(False).alias("one")).distinct())
-    own = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__th", F.xxhash64("text"))
-    kept = own.join(keys, (own["__k"] == keys["k"]) & (own["__th"] == keys["th"])).drop("k", "th")
+             .agg(F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", none).alias("k"), "th")).alias("f"))
+             .select(F.col("f.k").alias("__near_id"), F.col("f.th").alias("__near_th")))
+    keys = first.withColumn("__near_one", F.lit(True)).unionByName(
+        found.filter("group_id is null").select(F.coalesce("doc_id", none).alias("__near_id"), F.col("th").alias("__near_th"),
+                                                F.lit(False).alias("__near_one")).distinct())
+    own = docs.withColumn("__near_k", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__near_h", F.xxhash64("text"))
+    kept = own.join(keys, (F.col("__near_k") == F.col("__near_id")) & (F.col("__near_h") == F.col("__near_th")))
     # a kept row may stand in the table several times; equal keys are in one place already
-    single = kept.filter("one").drop("one").dropDuplicates(["__k", "__th"])
-    return single.unionByName(kept.filter("not one").drop("one")).select(*docs.columns)
+    single = kept.filter("__near_one").dropDuplicates(["__near_k", "__near_h"])
+    return single.unionByName(kept.filter("not __near_one")).select(*docs.columns)
