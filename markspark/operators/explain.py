@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markspark.functions.numeric import sigmoid
-from markspark.functions.text import tokens
+from markspark.functions.text import strip_punct, tokens
 from markspark.operators.order import topk
 
 
@@ -81,7 +81,18 @@ def word_weights(attr: DataFrame, sign: int = 1, score: str = "attr", out: str =
 def topk_with_marks(attr: DataFrame, marks: DataFrame, by: str, word: str, score: str, k: int,
                     mark_key: str, mark_text: str) -> DataFrame:
     """The top ``k`` words per group with every mark of the same group
-    that contains the word as a whole token (long form, one row per mark)."""
+    that contains the word as a whole token (long form, one row per mark).
+
+    Marks are split at any white space. A top word that no mark holds is looked
+    up once more without its punctuation (``word`` stays as it is); if there is no mark then
+    either, it has one row with a null ``mark_key``."""
     top = topk(attr, [by], score, k, key=[word])
-    mt = marks.select(by, mark_key, F.explode(F.split(F.col(mark_text), " ")).alias(word)).distinct()
-    return top.join(mt, [by, word]).select(by, word, score, "rank", mark_key)
+    top = top.select(by, word, score, "rank", strip_punct(F.col(word)).alias("_plain"))
+    wanted = top.select(by, F.explode(F.array_distinct(F.array(word, "_plain"))).alias("_token")).distinct()
+    held = marks.select(by, mark_key, F.explode(F.array_distinct(tokens(F.col(mark_text)))).alias("_token")).distinct()
+    held = held.join(wanted, [by, "_token"], "left_semi")  # k words a group: few tokens of the marks go on
+    whole = top.join(held.select(by, F.col("_token").alias(word), F.col(mark_key)), [by, word], "left")
+    none = whole.filter(F.col(mark_key).isNull()).drop(mark_key)
+    again = none.join(held.select(by, F.col("_token").alias("_plain"), F.col(mark_key)), [by, "_plain"], "left")
+    cols = [by, word, score, "rank", mark_key]
+    return whole.filter(F.col(mark_key).isNotNull()).select(*cols).unionByName(again.select(*cols))

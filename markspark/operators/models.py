@@ -68,10 +68,12 @@ def score(model, df: DataFrame, th: float = 0.5, temperature: float | None = Non
 
 
 def score_with(df: DataFrame, load_model: Callable[[], Callable], text: str, keep: list[str],
-               th: float = 0.5, on_error: str = "raise") -> DataFrame:
+               th: float = 0.5, on_error: str = "raise", batch_chars: int = 1 << 20) -> DataFrame:
     """M6 hook for a user's own model: ``load_model()`` returns
-    ``predict(list[str]) -> (logit_0 list, logit_1 list)``; it runs per Arrow
-    batch in ``mapInPandas``. ``on_error='skip'`` keeps failing rows with an
+    ``predict(list[str]) -> (logit_0 list, logit_1 list)``; it runs in ``mapInPandas``,
+    on at most ``batch_chars`` characters at once (a longer text alone; a null
+    text is scored as an empty one). ``prob`` is the sigmoid of logit_1, as :func:`score`
+    has it with a temperature of 1. ``on_error='skip'`` keeps failing rows with an
     ``error`` text and null scores instead of failing the job."""
     import pandas as pd
 
@@ -90,10 +92,24 @@ def score_with(df: DataFrame, load_model: Callable[[], Callable], text: str, kee
         half = len(texts) // 2  # only the failing rows are left without a score
         return tuple(x + y for x, y in zip(tried(predict, texts[:half]), tried(predict, texts[half:]), strict=True))
 
+    def parts(texts):
+        held, size = [], 0
+        for t in texts:
+            if held and size + len(t) > batch_chars:
+                yield held
+                held, size = [], 0
+            held.append(t)
+            size += len(t)
+        if held:
+            yield held
+
     def run(batches):
         predict = load_model()
         for b in batches:
-            l0, l1, err = tried(predict, b[text].astype(str).tolist())
+            l0, l1, err = [], [], []
+            for part in parts(b[text].fillna("").tolist()):
+                for whole, new in zip((l0, l1, err), tried(predict, part), strict=True):
+                    whole.extend(new)
             out = b[keep].copy()
             out["logit_0"], out["logit_1"], out["error"] = pd.Series(l0, dtype="float64"), pd.Series(l1, dtype="float64"), err
             yield out

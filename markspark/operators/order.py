@@ -202,33 +202,8 @@ def head(df: DataFrame, order: list, n: int) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None,
                     out: str = "_q") -> DataFrame:
-    """Linearly interpolated quantiles of ``col`` (per ``by`` group) as an
-    array column ``out`` aligned with ``qs``.
-
-    Sort-based: rows are globally indexed (equal values spread over tasks by
-    a hash tie-break), only the 2 rows around each quantile position are
-    kept, and the interpolation runs on that tiny table. Unlike the
-    ``percentile`` aggregate, no task holds all distinct values of a group.
-    """
-    by = list(by or [])
-    base = df.select(*by, F.col(col).cast("double").alias("_v"),
-                     F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h")).filter(F.col("_v").isNotNull())
-    ix = global_index(base, [F.col("_v"), F.col("_h")], by)
-    pos = lambda q: F.lit(float(q)) * (F.col("n_total") - 1)
-    near = None
-    for q in qs:
-        c = (F.col("idx") == F.floor(pos(q))) | (F.col("idx") == F.ceil(pos(q)))
-        near = c if near is None else near | c
-    picked = ix.filter(near)
-    aggs = [F.first("n_total").alias("_n")]
-    for i, q in enumerate(qs):
-        aggs.append(F.max(F.when(F.col("idx") == F.floor(pos(q)), F.col("_v"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("idx") == F.ceil(pos(q)), F.col("_v"))).alias(f"_hi{i}"))
-    g = picked.groupBy(*by).agg(*aggs)
-    vals = []
-    for i, q in enumerate(qs):
-        h = F.lit(float(q)) * (F.col("_n") - 1)
-        frac = h - F.floor(h)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        vals.append(F.when(frac == 0, lo).otherwise(lo + frac * (hi - lo)))
-    return g.select(*by, F.array(*vals).alias(out))
+    """Linearly interpolated exact quantiles of ``col`` (per ``by`` group) as an array column ``out`` aligned with ``qs``,
+    by bracketing (:func:`markspark.operators.selection.bracketed_quantiles`): the input is never sorted, and no task holds
+    all values of a group."""
+    from markspark.operators.selection import bracketed_quantiles
+    return bracketed_quantiles(df, col, qs, by, out)

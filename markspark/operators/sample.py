@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.operators.order import global_index
+from markspark.operators.selection import first_by_hash
 
 
 def seeded_key(seed: int, key: list[str]) -> Column:
@@ -21,15 +21,12 @@ def sample_per_group(df: DataFrame, by: list[str], n: int, seed: int, key: list[
                      strict: bool = False, tie: list[str] | None = None) -> DataFrame:
     """``n`` rows per group without replacement (the n smallest md5 keys).
 
-    One path for every ``n``: rows are numbered by the sort-based global index,
-    which splits a hot group over tasks; a null group is a group.
-    ``strict`` raises when a group has fewer than ``n`` rows; ``tie`` orders
-    rows whose key repeats.
+    One path for every ``n``: radix selection on the hashes finds each group's
+    cut, one filter keeps the rows; a hot group is only counted, a null group is
+    a group. ``strict`` raises when a group has fewer than ``n`` rows; ``tie``
+    orders rows whose key repeats.
     """
-    h = seeded_key(seed, key)
-    order_cols = [F.col(k) for k in key] + [F.col(t) for t in (tie or [])]
-    ix = global_index(df.withColumn("_h", h), [F.col("_h"), *order_cols], by)
-    out = ix.filter(F.col("idx") < n).drop("idx", "n_total", "_h")
+    out = first_by_hash(df, by, n, seeded_key(seed, key), list(dict.fromkeys([*key, *(tie or [])])))
     if strict:
         short = df.groupBy(*by).count().filter(F.col("count") < n).limit(1).count()
         if short:

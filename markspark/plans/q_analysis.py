@@ -3,6 +3,7 @@ delays (L4, P15, E16, A9-A11, A14, A16, W3-W12, W17, U2, F14-F16, M8)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from markspark.functions.numeric import round_even
@@ -99,11 +100,11 @@ def q_balanced_sample(spark, sf):
 
 
 @query("union_strata", "U2", with_(COURT, """
-select row_id, mark_type from court_mt where mark_type = 'generic'
-union all select row_id, mark_type from court_mt where mark_type = 'descriptive'"""))
+select row_id, mark_type from court_mt"""))
 def q_union_strata(spark, sf):
     c = court_mt(spark, sf).select("row_id", "mark_type")
-    return joins.union_all([c.filter(F.col("mark_type") == m) for m in ("generic", "descriptive")])
+    strata = [r.mark_type for r in c.select("mark_type").distinct().collect()]  # one row a stratum
+    return joins.union_all([c.filter(F.col("mark_type").eqNullSafe(F.lit(m))) for m in strata])
 
 
 @query("seeded_shuffle_head", "W11 W17", with_(COURT, f"""
@@ -126,11 +127,12 @@ select *, {_cut_sql('prob', bucket.EDGES_23)} as bin from correct"""
 
 
 @query("interval_counts", "W3 P14 W12", with_(["scored", "correct", "correct_bins"], f"""
-select bin, {dlist(bucket.EDGES_27[:-1])}[bin] as bin_lo, {dlist(bucket.EDGES_27[1:])}[bin] as bin_hi, count(*) as n
-from correct_bins group by bin"""))
+select bin, {dlist(bucket.EDGES_27[:-1])}[bin] as bin_lo, {dlist(bucket.EDGES_27[1:])}[bin] as bin_hi, count(*) as n,
+  cast(row_number() over (order by bin) as integer) as place from correct_bins group by bin"""))
 def q_interval_counts(spark, sf):
     c = bucket.cut(clean.correct_only(ad.scored(spark, sf)), "prob", bucket.EDGES_27)
-    return c.groupBy("bin", "bin_lo", "bin_hi").agg(F.count(F.lit(1)).alias("n"))
+    n = c.groupBy("bin", "bin_lo", "bin_hi").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy("bin"))).orderBy("bin")  # one row an interval
 
 
 def _interval_sample(spark, sf, edges, n):

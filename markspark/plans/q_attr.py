@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from markspark.operators import explain, order, stats
+from markspark.operators import attribution, explain, models, order, stats
 from markspark.plans import adapters as ad
 from markspark.plans.oracle import CTE, with_
 from markspark.plans.registry import query
@@ -85,8 +85,8 @@ def q_word_attr_topk(spark, sf):
 @query("topk_marks", "X4 J9 W13", with_(ATTR + ["word_class", "word_attr"], f"""
 select t.class, t.word, {r9('t.attr')} as attr, cast(t.rank as integer) as rank, m.row_id from (
   select *, row_number() over (partition by class order by attr desc, word) as rank from word_attr) t
-join (select distinct class, row_id, word from (
-        select p_size as class, p_partkey as row_id, unnest(string_split(p_name, ' ')) as word from part) x) m
+left join (select distinct class, row_id, word from (
+        select p_size as class, p_partkey as row_id, unnest(regexp_split_to_array(p_name, '\\s+')) as word from part) x) m
   on t.class = m.class and t.word = m.word
 where t.rank <= 3"""))
 def q_topk_marks(spark, sf):
@@ -132,3 +132,53 @@ def q_alignment_check(spark, sf):
     texts, pieces = ad.subword_pieces(spark, sf)
     counts = explain.alignment_counts(explain.merge_subwords(pieces, texts), texts)
     return counts.agg(F.count_if(F.col("n_words") != F.col("n_scored")).alias("failures"))
+
+
+# Shapley attribution of a model that is no sum of words: the square of the text's letters
+SHAPLEY_SAMPLES, SHAPLEY_SEED = 4, 42
+
+
+def _square_of_letters():
+    def predict(texts):
+        n = [float(sum(map(len, t.split()))) for t in texts]
+        return [0.0] * len(n), [x * x / 100.0 for x in n]
+
+    return predict
+
+
+@query("shapley_words", "X2 M6", with_(["texts", "words"], f"""
+select w.doc_id, cast(w.word_pos as integer) as pos, w.word as token, {r9('a.attr')} as attr, 0.0::double as base,
+  {r9('f.n * f.n / 100.0::double')} as score
+from words w join (select doc_id, sum(length(word))::double as n from words group by doc_id) f on w.doc_id = f.doc_id
+join (select doc_id, word_pos, avg((2 * coalesce(pre, 0) * len + len * len) / 100.0::double) as attr from (
+  select doc_id, word_pos, length(word) as len, sum(length(word)) over (partition by doc_id, s
+    order by md5(concat_ws('|', '{SHAPLEY_SEED}', cast(doc_id as varchar), cast(s as varchar), cast(word_pos as varchar)))
+    rows between unbounded preceding and 1 preceding) as pre
+  from words, (select unnest(range({SHAPLEY_SAMPLES})) as s) r) m group by doc_id, word_pos) a
+on w.doc_id = a.doc_id and w.word_pos = a.word_pos"""))
+def q_shapley_words(spark, sf):
+    texts = load(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    a = attribution.shapley(texts, "doc_id", "text", _square_of_letters, samples=SHAPLEY_SAMPLES, seed=SHAPLEY_SEED)
+    return a.select("doc_id", "pos", "token", *[sr9(F.col(c)).alias(c) for c in ("attr", "base", "score")])
+
+
+def _words_model():
+    """A model that cannot read texts with an at sign."""
+    def predict(texts):
+        if any("@" in t for t in texts):
+            raise ValueError("at sign")
+        return [1.0] * len(texts), [len(t.split()) / 10.0 for t in texts]
+
+    return predict
+
+
+@query("user_model_scores", "M6 L5", f"""
+select conv_id, turn, logit_0, logit_1, {r9('1.0::double / (1.0::double + exp(-logit_1))')} as prob, cast(logit_1 > logit_0 as integer) as pred,
+  case when logit_1 is null then 'ValueError: at sign' end as error
+from (select conv_id, turn, case when not contains(t, '@') then 1.0::double end as logit_0,
+        case when not contains(t, '@') then len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) / 10.0::double end as logit_1
+      from (select conv_id, turn, coalesce(text, '') as t from conversations) c) s""")
+def q_user_model_scores(spark, sf):
+    c = load(spark, sf, "conversations").select("conv_id", "turn", "text")
+    s = models.score_with(c, _words_model, "text", ["conv_id", "turn"], on_error="skip")
+    return s.select("conv_id", "turn", "logit_0", "logit_1", sr9(F.col("prob")).alias("prob"), "pred", "error")

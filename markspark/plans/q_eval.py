@@ -9,7 +9,7 @@ from markspark.functions.numeric import round_even
 from markspark.operators import bootstrap as bs
 from markspark.operators import calibrate as cal
 from markspark.operators import evaluate as ev
-from markspark.operators import order
+from markspark.operators import order, resample
 from markspark.operators.bucket import histogram
 from markspark.plans import adapters as ad
 from markspark.plans.oracle import CTE, with_
@@ -358,3 +358,24 @@ join (select * from pw_report where class_name = 'weighted avg') w on a.round =
 def q_bootstrap_poisson(spark, sf):
     b = bs.bootstrap(_scored(spark, sf), KEY, rounds=BOOT_ROUNDS, seed=BOOT_SEED, method="poisson")
     return b.select(F.col("round").cast("int"), *[sr9(F.col(c)).alias(c) for c in ("accuracy", "auc", "precision", "recall", "f1")])
+
+
+def _split_boot(spark, sf):
+    return resample.split_bootstrap(_scored(spark, sf), rounds=BOOT_ROUNDS, seed=BOOT_SEED)
+
+
+@query("bootstrap_split", "E14 (multinomial splitting)")
+def q_bootstrap_split(spark, sf):
+    return _split_boot(spark, sf)
+
+
+# what must hold of any such draws: n rows a round, no round far from the table's own figures (6 standard errors)
+@query("bootstrap_split_check", "E14 Q1", with_(["scored"], f"""
+select cast({BOOT_ROUNDS} as bigint) as rounds, n as least_drawn, n as most_drawn, cast({BOOT_ROUNDS} as bigint) as rounds_in_band
+from (select count(*) as n from scored) t"""))
+def q_bootstrap_split_check(spark, sf):
+    whole = _scored(spark, sf).agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("p"), F.count(F.lit(1)).alias("rows"))
+    band = 6 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("rows"))
+    boot = _split_boot(spark, sf).join(F.broadcast(whole), F.col("rows") == F.col("n"))  # one row
+    return boot.agg(F.count(F.lit(1)).alias("rounds"), F.min("n").alias("least_drawn"), F.max("n").alias("most_drawn"),
+                    F.count_if(F.abs(F.col("accuracy") - F.col("p")) <= band).alias("rounds_in_band"))

@@ -96,3 +96,15 @@ def test_score_with_skips_only_the_bad_row(spark):
     df = spark.createDataFrame([(i, "bad" if i == 3 else "x" * i) for i in range(7)], "id int, text string").coalesce(1)
     got = {r.id: (r.logit_1, r.error) for r in models.score_with(df, load, "text", ["id"], on_error="skip").collect()}
     assert got == {i: (None, "ValueError: no") if i == 3 else (float(i), None) for i in range(7)}
+
+
+def test_topk_marks_keeps_every_top_word(spark):
+    from markspark.operators import explain
+    attr = spark.createDataFrame([("9", "foo,", 3.0), ("9", "bar", 2.0), ("9", "baz", 1.0), ("8", "bar", 1.0)], "c string, w string, s double")
+    marks = spark.createDataFrame([("9", 1, "foo,\tbar qux"), ("9", 2, "foo"), ("9", 3, "bar  bar"), ("7", 4, "baz")], "c string, id int, mark string")
+    out = explain.topk_with_marks(attr, marks, "c", "w", "s", 3, "id", "mark").collect()
+    assert sorted(((r.c, r.w, r["rank"], r.id) for r in out), key=str) == sorted(
+        [("9", "foo,", 1, 1), ("9", "bar", 2, 1), ("9", "bar", 2, 3), ("9", "baz", 3, None), ("8", "bar", 1, None)], key=str)
+    # without its punctuation a word is looked up only where nothing holds it as it is
+    out = explain.topk_with_marks(attr, marks.filter("id <> 1"), "c", "w", "s", 1, "id", "mark").collect()
+    assert {(r.c, r.w, r.id) for r in out} == {("9", "foo,", 2), ("8", "bar", None)}
