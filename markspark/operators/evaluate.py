@@ -58,7 +58,7 @@ def report_from_counts(counts: DataFrame, by: list[str] | None = None) -> DataFr
     c = (counts.withColumn("p1", p1).withColumn("r1", r1).withColumn("p0", p0).withColumn("r0", r0)
          .withColumn("s1", s1).withColumn("s0", s0))
     c = c.withColumn("f1_1", f(F.col("p1"), F.col("r1"))).withColumn("f1_0", f(F.col("p0"), F.col("r0")))
-    w = lambda a, b: (a * F.col("s0") + b * F.col("s1")) / F.col("n")
+    w = lambda a, b: F.try_divide(a * F.col("s0") + b * F.col("s1"), F.col("n"))  # noqa: E731 - null without rows
     rows = [
         ("0", F.col("p0"), F.col("r0"), F.col("f1_0"), F.col("s0")),
         ("1", F.col("p1"), F.col("r1"), F.col("f1_1"), F.col("s1")),

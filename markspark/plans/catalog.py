@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from markspark.plans import q_analysis, q_attr, q_cases, q_eval, q_io, q_models, q_text  # noqa: F401
+from markspark.plans import q_analysis, q_attr, q_cases, q_eval, q_io, q_models, q_report, q_text  # noqa: F401
 from markspark.plans.registry import REGISTRY
 
 
