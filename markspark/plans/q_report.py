@@ -107,7 +107,7 @@ def q_guarded_lookups(spark, sf):
 select * from ({report_sql('''(select cast(count_if(distinct_ind = 1 and model_preds = 1) as bigint) as tp,
   cast(count_if(distinct_ind = 0 and model_preds = 0) as bigint) as tn, cast(count_if(distinct_ind = 0 and model_preds = 1) as bigint) as fp,
   cast(count_if(distinct_ind = 1 and model_preds = 0) as bigint) as fn, count(*) as n from court where not exists (
-    select 1 from (select unnest(regexp_split_to_array(lower(mark), '\\\\s+')) as token) t
+    select 1 from (select unnest(regexp_split_to_array(lower(mark), '\\s+')) as token) t
     where t.token in (select w from (select distinct unnest(string_split(lower(p_name), ' ')) as w from part) v
                       where substr(md5(w), 1, 1) < '6')))''')}) r"""))
 def q_oov_marks_report(spark, sf):
