@@ -32,12 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     read back: cuts lineage, so lost executors re-read instead of recomputing.
     The files are deleted when the driver ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder; what is written there is deleted when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_delete_all)
     _WRITTEN.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def delete_stored() -> None:

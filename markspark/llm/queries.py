@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from markspark.llm import (bpe, decontaminate, filter_audit, licenses, line_dedup, near_dup, quality, shards, spelling, suffix_tree,
                            token_rollup, topk, toxicity)
-from markspark.llm.common import ship_code, stored, table
-from markspark.session import checkpoint_dir
+from markspark.llm.common import scratch_path, ship_code, stored, table
 
 #: Low enough for a passage with some 20 copies of which a hot source holds half; copies on fewer sites are left to near-dedup.
 MIN_SITES = 5
@@ -76,8 +75,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = "word_bpe_49k", "byte_bpe_multi_50k"
     counts = stored(token_rollup.token_counts(table(spark, sf_dir, "documents"), vocabulary(f"{first}.json"),
                                               vocabulary(f"{second}.tiktoken")), "counts")
-    rollup = token_rollup.Rollup(spark, f"{checkpoint_dir(spark)}/llm-rollup-{counts.inputFiles()[0].rsplit('/', 2)[-2]}"
-                                 if counts.inputFiles() else f"{checkpoint_dir(spark)}/llm-rollup-empty")
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, "rollup"))
     token_rollup.maintain_all(rollup, counts, first, second)
     return rollup.totals()
 

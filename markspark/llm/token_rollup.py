@@ -2,12 +2,14 @@
 
 Every change to a document is a signed row: +1 document and +n tokens for an
 insert, -1 and -n for a delete, both for a revised count or a move to another
-tokenizer version. A batch of changes is summed per key before it is written,
-and written as the one partition of its batch id: committing a batch again
-replaces that partition, so a retried or replayed batch changes nothing.
-Totals are the sum of all batches' partitions, a table of keys x batches.
-
-Defined results: null source or language is a key of its own; a null text has
+tokenizer version. A batch of changes is summed per key and written below a new
+attempt; then one commit row names the attempt as the state of its batch id.
+Totals are the sum over each batch's last committed attempt, so a retried or
+replayed batch changes nothing, a batch corrected to no rows counts nothing,
+and an attempt that failed half-way is never read. Attempts are ordered by the
+committing driver's clock: commits of one batch come from one driver at a time.
+
+Defined results: before the first commit there are no totals; null source or language is a key of its own; a null text has
 0 tokens; keys whose documents are all gone are left out of the totals;
 changes to a document that was never inserted make a negative total, which
 shows. Equal rows count each.
@@ -16,6 +18,8 @@ shows. Equal rows count each.
 from __future__ import annotations
 
 import base64
+import time
+import uuid
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from markspark.llm.bpe import Codec, _codec
 
 KEYS = ["source", "lang", "version"]
+_DELTA = "source string, lang string, version string, docs long, tokens long"
+_COMMIT = "batch long, attempt string"
 #: One document in so many is deleted and inserted again.
 WAVE = 7
 
@@ -34,15 +40,25 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        commits = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+        self.committed = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(commits)
 
     def commit(self, batch: int, changes: DataFrame) -> None:
         """Add ``changes(source, lang, version, docs, tokens)``, signed, as batch number ``batch``; again is harmless."""
-        delta = (changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-                 .withColumn("batch", F.lit(batch).cast("long")))
-        (delta.coalesce(8).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path))
+        delta = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        delta.coalesce(8).write.parquet(f"{self.path}/attempts/attempt={attempt}")
+        # the step that makes the attempt the batch's state: one file, put in place by the writer's own commit
+        self.spark.createDataFrame([(batch, attempt)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.committed = True
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.schema("source string, lang string, version string, docs long, tokens long, batch long").parquet(self.path)
+        """(source, lang, version, docs, tokens, batch): the last committed attempt of every batch."""
+        if not self.committed:
+            return self.spark.createDataFrame([], f"{_DELTA}, batch long")
+        last = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits").groupBy("batch").agg(F.max("attempt").alias("attempt"))
+        rows = self.spark.read.schema(f"{_DELTA}, attempt string").parquet(f"{self.path}/attempts")
+        return rows.join(last, "attempt").drop("attempt")
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) after all committed batches."""

@@ -4,12 +4,14 @@ A word's input is a hashed word vector beside the mean of the vectors of its
 character 4-grams (with the word's start marked), so unseen forms of a known
 stem still score. Two gated recurrent layers read a window forwards and
 backwards, attention pools their states to one logit. A document is scored on
-all windows of ``SPAN`` words that start every ``STRIDE`` words (neighbours
-overlap), and its score is that of its most toxic window.
+all windows of ``SPAN`` words that start every ``STRIDE`` words, so that every
+passage of ``SPAN - STRIDE + 1`` words lies whole in one, and its score is that
+of its most toxic window.
 
 Training runs on the driver over a bounded sample: at most ``TOXIC_DOCS`` and
 ``CLEAN_DOCS`` labelled texts of up to ``TRAIN_CHARS`` characters, the first
-in the order of a hash. Labels name documents, not windows, so training
+in the order of a hash, one text for each id (the smallest, where an id
+repeats). Labels name documents, not windows, so training
 learns from the windows that score highest in their documents. Scoring reads
 whole texts and runs in the scan; words are looked up per distinct word.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from markspark.llm.words import ALNUM, LOWER, PIECE, column_bytes, mix, pieces, span_hashes, word_spans
 
-SPAN, STRIDE = 32, 24
+SPAN, STRIDE = 32, 16
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 800, 1200, 12_000
 STEPS, BATCH, RATE = 360, 32, 0.01
 #: Steps in which any window stands for its document, before the highest ones do.
@@ -306,7 +308,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
                .filter("doc_id is not null").orderBy(order, "doc_id").limit(n))
         ids = own if ids is None else ids.unionByName(own)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-            .filter(F.length("text") <= TRAIN_CHARS).collect())  # bounded by the two numbers and TRAIN_CHARS
+            .filter(F.length("text") <= TRAIN_CHARS)
+            .groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect())  # bounded by the two numbers and TRAIN_CHARS
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], np.array([r.y for r in rows], np.int64)
 

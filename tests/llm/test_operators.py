@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from markspark.llm import (bpe, decontaminate, licenses, line_dedup, near_dup, quality, queries, shards, token_rollup, topk, toxicity,
                            words)
@@ -101,6 +102,21 @@ def test_toxicity_gradient():
         assert g[name][at] == pytest.approx((out[0] - out[1]) / 2e-4, rel=0.05, abs=1e-4)
 
 
+def test_every_passage_lies_in_a_window():
+    long = toxicity.SPAN - toxicity.STRIDE + 1
+    for n in range(1, 200):
+        _, first = toxicity.windows(np.array([n]))
+        for at in range(max(n - long, 0) + 1):
+            assert any(f <= at and min(at + long, n) <= f + toxicity.SPAN for f in first.tolist()), (n, at)
+
+
+def test_training_sample_has_one_text_an_id(spark):
+    d = docs(spark, [(7, f"copy {i % 3}", "s") for i in range(50)] + [(8, "other", "s"), (8, None, "s"), (None, "x", "s")])
+    labels = spark.createDataFrame([(7, 1, 1), (7, 1, 1), (8, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    texts, y = toxicity.training_sample(d, labels)
+    assert (texts, y.tolist()) == (["copy 0", "other"], [1, 0])
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, [(1, "a", "s")])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -416,6 +432,24 @@ def test_token_rollup(spark, tmp_path):
     assert sorted(map(str, rollup.totals().collect())) == before
 
 
+def test_token_rollup_commits_are_idempotent(spark, tmp_path):
+    rollup = token_rollup.Rollup(spark, str(tmp_path / "r"))
+    changes = lambda rows: spark.createDataFrame(rows, "source string, lang string, version string, docs long, tokens long")
+    totals = lambda r: sorted((x.source, x.lang, x.version, x.docs, x.tokens) for x in r.totals().collect())
+    assert totals(rollup) == []
+    rollup.commit(1, changes([("a", "en", "v", 1, 5), ("a", "en", "v", 1, 2)]))
+    rollup.commit(2, changes([("b", "de", "v", 1, 3)]))
+    rollup.commit(1, changes([("a", "en", "v", 1, 5)]))
+    assert totals(rollup) == [("a", "en", "v", 1, 5), ("b", "de", "v", 1, 3)]
+    rollup.commit(1, changes([]))  # corrected to nothing
+    again = token_rollup.Rollup(spark, str(tmp_path / "r"))
+    assert totals(again) == [("b", "de", "v", 1, 3)]
+    broken = changes([("c", "en", "v", 1, 1)]).withColumn("tokens", F.raise_error(F.lit("stop")).cast("long"))
+    with pytest.raises(Exception, match="stop"):
+        again.commit(2, broken)
+    assert totals(again) == [("b", "de", "v", 1, 3)]
+
+
 def test_op8_counts_all_documents_under_both_versions(spark, tmp_path):
     rows = [(1, "the cat", "en", "a"), (2, "the cat", "en", "a"), (3, "der Hund", "de", "a"), (4, None, None, None), (5, None, None, None),
             (6, "der Hund", "de", "a"), (None, "the cat", "en", "b"), (6, "der Hund", "de", "a")]
