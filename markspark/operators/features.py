@@ -2,8 +2,8 @@
 
 Sentence vectors are built relationally: tokens are exploded and hash-joined
 to the word-vector table (the join AQE can split for hot tokens), then
-averaged per text with the ML ``Summarizer`` aggregate (vectorised, with
-partial aggregation; no per-text list is ever collected).
+averaged per text by one aggregate with a column per dimension (partial
+aggregation; no per-text list is ever collected).
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ def one_hot(df: DataFrame, col: str, prefix: str, values: list | None = None, dr
 
 def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame,
                      token_col: str = "token", vec_col: str = "vector", out: str = "vector") -> DataFrame:
-    """M1: mean word vector of each text's lower-case whitespace tokens.
+    """M1: mean of the word vectors of each text's lower-case whitespace tokens, each scaled to length one first.
 
-    Tokens without a vector are skipped; a text with none (or null) gets the
+    Tokens without a vector, or with one of length zero, are skipped; a text with none (or null) gets the
     zero vector, so every row of ``df`` has one. The
     mean is one hash aggregate with a column per dimension (codegen, partial
     aggregation per task), so no per-text list is collected and no row is
@@ -40,7 +40,9 @@ def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame
     """
     dims = word_vectors.select(F.max(F.size(vec_col))).first()[0] or 0
     t = df.select(key, F.explode(tokens(F.lower(F.col(text)))).alias(token_col))
-    wv = word_vectors.select(token_col, *[F.col(vec_col)[i].cast("double").alias(f"_d{i}") for i in range(dims)])
+    size = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    wv = word_vectors.select(token_col, vec_col, size.alias("_size")).filter("_size > 0").select(
+        token_col, *[(F.col(vec_col)[i].cast("double") / F.col("_size")).alias(f"_d{i}") for i in range(dims)])
     j = t.join(maybe_broadcast(wv, row_bytes=64 + 8 * dims), token_col)
     g = j.groupBy(key).agg(*[F.avg(f"_d{i}").alias(f"_d{i}") for i in range(dims)])
     return df.select(key).join(g, key, "left").select(

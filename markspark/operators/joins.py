@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from markspark.functions.text import tokens
 
 
+# The detachment rules of English nouns, verbs and adjectives (suffix, ending).
+ENGLISH_FORMS = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"),
+                 ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""),
+                 ("er", ""), ("est", ""), ("er", "e"), ("est", "e")]
+
 # Byte budget for a side broadcast behind a measured row count.
 BROADCAST_BUDGET = 32 << 20
 
@@ -95,17 +100,36 @@ def left_lookup(df: DataFrame, dim: DataFrame, key: str | list[str], check: bool
     return df.join(dim, on=keys, how="left")
 
 
+def word_forms(token, rules: list[tuple[str, str]]):
+    """The base forms ``token`` may stand for: itself, and for each rule (suffix, ending) whose suffix it ends with,
+    the token with the ending in its place; a token that is the suffix alone has no such form."""
+    t = F.col(token) if isinstance(token, str) else token
+    each = [F.when(F.endswith(t, F.lit(suffix)) & (F.length(t) > len(suffix)),
+                   F.concat(F.substring(t, F.lit(1), F.length(t) - len(suffix)), F.lit(ending))) for suffix, ending in rules]
+    return F.array_distinct(F.array_compact(F.array(t, *each)))
+
+
 def lexicon_indicator(df: DataFrame, key: str, text: str, lexicon: DataFrame,
-                      token_col: str = "token", out: str = "wn_ind", lower: bool = True) -> DataFrame:
+                      token_col: str = "token", out: str = "wn_ind", lower: bool = True,
+                      rules: list[tuple[str, str]] | None = None, exceptions: DataFrame | None = None) -> DataFrame:
     """1 when any whitespace token of ``text`` is in ``lexicon``, else 0.
 
     Tokens are exploded and semi-joined to the lexicon (a hash join, the
     lexicon broadcast only when its size is checked), reduced to distinct
     matching keys, then left-joined back: no per-row Python, no nested loop.
+
+    With ``rules`` a token also hits by a base form of :func:`word_forms`, made in the same explode (at most one
+    row more a rule that fits). ``exceptions(form, lemma)`` are irregular forms: those of a lemma in the lexicon join
+    the lexicon, so the texts are still read once. A null form, lemma or lexicon token hits nothing.
     """
-    t = F.lower(F.col(text)) if lower else F.col(text)
-    exploded = df.select(key, F.explode(tokens(t)).alias(token_col))
+    t = tokens(F.lower(F.col(text)) if lower else F.col(text))
+    if rules:
+        t = F.flatten(F.transform(t, lambda x: word_forms(x, rules)))
+    exploded = df.select(key, F.explode(t).alias(token_col))
     lex = lexicon.select(token_col).distinct()
+    if exceptions is not None:
+        irregular = exceptions.join(lex, exceptions["lemma"] == lex[token_col], "left_semi").select(F.col("form").alias(token_col))
+        lex = lex.unionByName(irregular).distinct()
     hits = exploded.join(maybe_broadcast(lex, row_bytes=64), on=token_col, how="left_semi").select(key).distinct()
     flagged = hits.withColumn(out, F.lit(1))
     return df.join(flagged, on=key, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))

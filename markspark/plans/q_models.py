@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markspark.functions.numeric import md5_unit
-from markspark.functions.text import strip_punct, word_count
+from markspark.functions.text import flag_text, indicator_text, strip_punct, word_count
+from markspark.operators import ablation
 from markspark.operators import evaluate as ev
 from markspark.operators import explain, features, joins, models, stats
 from markspark.plans import adapters as ad
@@ -30,8 +31,10 @@ def q_one_hot(spark, sf):
 
 
 CTE["wv"] = """
-select l.token, e.embedding as vector from lexicon l join embeddings e
-  on e.vec_id = (('0x' || substr(md5(l.token), 1, 8))::bigint % (select count(*) from embeddings))"""
+select token, list_transform(embedding, lambda x: x::double / size) as vector
+from (select l.token, e.embedding, sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) as size
+  from lexicon l join embeddings e
+  on e.vec_id = (('0x' || substr(md5(l.token), 1, 8))::bigint % (select count(*) from embeddings))) u where size > 0"""
 CTE["doc_tokens"] = """
 select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as token from documents"""
 CTE["doc_vec"] = """
@@ -164,31 +167,34 @@ def q_text_classifier_scores(spark, sf):
     return models.score(m, test, keep=["doc_id", "label"])
 
 
-def ablations() -> dict:
-    """Input variants compared by the ablation report (full, text only, no text)."""
-    return {
-    "full": F.concat(F.lit("[CLS] "), F.col("text"), F.lit(" [SEP] "), F.col("lang"), F.lit(" [SEP] "),
-                     F.concat(F.lit("word count is "), F.col("n_words").cast("string"))),
-    "text_only": F.concat(F.lit("[CLS] "), F.col("text")),
-    "wo_text": F.concat(F.lit("[CLS] "), F.col("lang"), F.lit(" [SEP] "),
-                        F.concat(F.lit("word count is "), F.col("n_words").cast("string"))),
-    }
+def ablation_input() -> tuple[list, dict]:
+    """The input's segments and the variants compared: all segments, the text alone, all but the text, an order per row."""
+    segments = [F.col("text"), F.col("lang"), indicator_text("n_words", "word count is "),
+                flag_text("wn_ind", "word in lexicon", "no word in lexicon")]
+    return segments, {"full": ablation.fixed_order(0, 1, 2, 3), "text_only": ablation.fixed_order(0),
+                      "wo_text": ablation.fixed_order(1, 2, 3), "shuffled": ablation.shuffled_order("doc_id", 4, SEED)}
 
 
-@query("ablation_report", "E18 F7 M5 E3 E5")
+def ablation_scores(spark, sf):
+    """Test documents scored by the classifier of every variant."""
+    segments, variants = ablation_input()
+    test = (md5_unit(F.lit(SEED), F.col("doc_id")) % 5) == 0
+    rows = ablation.variant_rows(doc_base(spark, sf), "doc_id", "label", segments, variants, TEXT_FEATURES, test)
+    fit = ablation.fit_together(rows, list(variants), TEXT_FEATURES)
+    return ablation.score_variants(rows.filter("test"), fit, "doc_id")
+
+
+@query("ablation_report", "E18 F7 M5 E2 E5")
 def q_ablation_report(spark, sf):
-    d = materialize(doc_labelled(spark, sf))
-    train, test = _split(d, "doc_id")
-    scored = []
-    for name, expr in ablations().items():
-        m = models.train_text_classifier(train.withColumn("input", expr), "input", "label", reg=0.01,
-                                         max_iter=TEXT_ITER, num_features=TEXT_FEATURES)
-        scored.append(models.score(m, test.withColumn("input", expr), keep=["doc_id", "label"])
-                      .withColumn("variant", F.lit(name)))
-    s = joins.union_all(scored)
+    s = materialize(ablation_scores(spark, sf))
     return ev.accuracy(s, by=["variant"]).join(ev.auc(s, by=["variant"]), "variant")
 
 
+@query("ablation_classes", "E18 E3")
+def q_ablation_classes(spark, sf):
+    return ev.classification_report(ablation_scores(spark, sf), by=["variant"])
+
+
 @query("occlusion", "X2")
 def q_occlusion(spark, sf):
     m, d, _ = _text_model(spark, sf)

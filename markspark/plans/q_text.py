@@ -50,6 +50,21 @@ def q_lexicon_flag(spark, sf):
     return joins.lexicon_indicator(d, "doc_id", "text", ad.lexicon(spark, sf)).select("doc_id", "wn_ind")
 
 
+_FORMS = ", ".join(["t"] + [f"case when ends_with(t, '{a}') and len(t) > {len(a)} then substr(t, 1, len(t) - {len(a)}) || '{b}' end"
+                            for a, b in joins.ENGLISH_FORMS])
+
+
+@query("lexicon_forms", "J11", with_(["lexicon"], f"""
+select d.doc_id, cast(d.doc_id in (
+  select doc_id from (select doc_id, unnest([{_FORMS}]) as token from (
+    select doc_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '{PUNCT}', '', 'g')), '\\s+'), lambda x: x <> '')) as t
+    from documents where doc_id is not null) w) f where token in (select token from lexicon)) as integer) as wn_ind
+from documents d"""))
+def q_lexicon_forms(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", text.strip_punct("text").alias("text"))
+    return joins.lexicon_indicator(d, "doc_id", "text", ad.lexicon(spark, sf), rules=joins.ENGLISH_FORMS).select("doc_id", "wn_ind")
+
+
 def translated(spark: SparkSession, sf: str) -> DataFrame:
     """Cases with their final mark (sentinel keeps the processed mark)."""
     c = (ad.cases(spark, sf).select("serial_no", "filing_dt", "mark_id_char")
