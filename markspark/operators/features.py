@@ -15,15 +15,21 @@ from markspark.functions.numeric import vec_columns, vec_sub
 from markspark.functions.text import tokens
 from markspark.operators.joins import maybe_broadcast
 
+#: Most columns that one_hot makes of its own accord.
+MAX_CODES = 1000
+
 
 def one_hot(df: DataFrame, col: str, prefix: str, values: list | None = None, drop: bool = True) -> DataFrame:
     """``<prefix><value>`` 0/1 columns for each value of ``col``.
 
-    ``values`` defaults to the sorted distinct values (a small aggregate read
-    back to name the columns; a code column has a bounded domain).
+    ``values`` defaults to the sorted distinct values, read back to name the
+    columns; more than ``MAX_CODES`` of them raise, as such a column holds no codes.
     """
     if values is None:
-        values = sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+        found = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(MAX_CODES + 1).collect()
+        if len(found) > MAX_CODES:
+            raise ValueError(f"{col} has more than {MAX_CODES} distinct values; name the values to keep")
+        values = sorted(r[0] for r in found)
     out = df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}{v}") for v in values])
     return out.drop(col) if drop else out
 

@@ -38,3 +38,10 @@ def test_word_vectors_have_length_one_before_the_mean(spark):
     assert got[3] == got[4] == got[5] == [0.0, 0.0]
     one = features.sentence_vectors(d.filter(F.col("id") == 2), "id", "text", wv).first().vector
     assert math.isclose(math.hypot(*one), 1.0, abs_tol=1e-6)
+
+
+def test_one_hot_names_a_bounded_number_of_columns(spark):
+    d = spark.createDataFrame([(3,), (1,), (None,)], "c int")
+    assert features.one_hot(d, "c", "x_").columns == ["x_1", "x_3"]
+    with pytest.raises(ValueError, match="distinct values"):
+        features.one_hot(spark.range(features.MAX_CODES + 1), "id", "x_")
