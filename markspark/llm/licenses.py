@@ -8,10 +8,14 @@ term from a template's heavy end, so a text without any of those few terms is
 passed over after one pattern test; the lines of the rest are weighed within
 their row, so no term is shuffled.
 
-A notice that is wrapped over lines, or a whole licence file, is found by its
-opening: stretches of the text's first ``REGION`` terms, each as long as a
-template of ``WHOLE`` (source headers and openings of licence files), are
-compared with that template in the same way. The higher cosine of both wins.
+A notice that is wrapped over lines, or a whole licence file, is found by
+sliding over the whole text: stretches as long as a template of ``WHOLE``
+(source headers and openings of licence files), beginning at every term, are
+compared with that template in the same way. A text is read in pieces of
+``PIECE`` characters and the next ``OVERLAP``, so a notice within ``OVERLAP``
+characters lies whole in one piece wherever it stands; parts of a piece without
+enough of a template's rarer terms are passed over. The higher cosine of both
+wins.
 
 A file named like a licence (``LICENSE``, ``COPYING``, ``NOTICE`` with any
 ending) speaks for its folder. Distinct folders, not files, are expanded to
@@ -56,7 +60,7 @@ _BSD = ("Redistribution and use in source and binary forms, with or without modi
         "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
         "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
         "following disclaimer in the documentation and/or other materials provided with the distribution.")
-#: (licence, text): source headers and openings of licence files, compared with stretches of a text's opening.
+#: (licence, text): source headers and openings of licence files, compared with stretches of a text.
 WHOLE = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
                    "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
@@ -84,8 +88,8 @@ WHOLE = (
     ("LGPL-3.0", _GNU_FILE.format("LESSER ", "3, 29 June 2007", "2007")),
     ("AGPL-3.0", _GNU_FILE.format("AFFERO ", "3, 19 November 2007", "2007")),
 )
-#: The opening of a text: so many terms within so many characters; stretches begin at these terms.
-REGION, REGION_CHARS, STARTS = 400, 6_000, (1, 17, 33, 65, 129)
+#: Characters of a text cut into terms at once, and those of the next piece read with them.
+PIECE, OVERLAP = 8_192, 4_096
 _TERM = "[^a-z0-9.]+"
 _FILE = r"(^|/)(LICEN[CS]E|COPYING|NOTICE)[^/]*$"
 
@@ -113,7 +117,7 @@ COMMON = ("and", "the", "of", "in", "is", "this", "with", "a", "or", "are", "by"
           "public")
 
 
-#: Everyday words of the long templates, not among the terms by which an opening is passed over (that only saves work too).
+#: Everyday words of the long templates, not among the terms by which a stretch is passed over (that only saves work too).
 EVERYDAY = {"and", "the", "of", "in", "is", "this", "with", "a", "or", "are", "by", "to", "any", "for", "not", "be", "as", "that", "but", "on", "an"}
 
 
@@ -190,37 +194,59 @@ def whole_weights(whole: tuple[tuple[str, str], ...]):
     return weights({str(i): " ".join(dict.fromkeys(terms(x))) for i, (_, x) in enumerate(whole)})
 
 
-def opening_licence(text, whole: tuple[tuple[str, str], ...], least: float):
-    """struct(c, licence) as :func:`line_licence` has it, of the best template of ``whole`` over stretches of the text's opening."""
+def pieces(text):
+    """The whole text in pieces of ``PIECE`` characters, each with the first ``OVERLAP`` of the next, cut into terms."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    joined = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(parts, i + 1), 1, OVERLAP), F.lit(""))))
+    return F.transform(F.when(F.length(text) > PIECE, joined).otherwise(F.array(text)), cut)
+
+
+def stretch_licence(text, whole: tuple[tuple[str, str], ...], least: float):
+    """struct(c, licence) as :func:`line_licence` has it, of the best template of ``whole`` over stretches of the whole text.
+
+    Of a piece, ``span`` stretch starts at a time are tested together: if the terms they can reach hold fewer than ``k`` of
+    a template's rarer terms, none of their stretches can reach ``least``.
+    """
     unit, idf, other = whole_weights(whole)
     rows = []
     for i, (name, x) in enumerate(whole):
         rare, k = fewest(unit[str(i)], least)
-        rows.append({"licence": name, "n": len(terms(x)), "rare": rare, "k": k, "weight": {t: idf[t] * v for t, v in unit[str(i)].items()}})
+        n = len(terms(x))
+        rows.append({"licence": name, "n": n, "span": max(1, n // 4), "rare": rare, "k": k,
+                     "weight": {t: idf[t] * v for t, v in unit[str(i)].items()}})
     # constants, so that the plan holds one comparison for all templates
-    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence: string, n: int, rare: array<string>, k: int, weight: map<string, double>>>")
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<licence: string, n: int, span: int, rare: array<string>, k: int, "
+                                                 "weight: map<string, double>>>")
     squares = F.from_json(F.lit(json.dumps({t: v * v for t, v in idf.items()})), "map<string, double>")
+    known = F.split(F.lit(" ".join(sorted(idf))), " ")
     some = F.split(F.lit(" ".join(sorted({t for r in rows for t in r["rare"]}))), " ")
 
     def cosine(found, row):
-        length = F.aggregate(found, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(squares, t), F.lit(other * other)))
-        dot = F.aggregate(found, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(row["weight"], t), F.lit(0.0)))
+        shared = F.array_intersect(found, known)
+        length = F.aggregate(shared, (F.size(found) - F.size(shared)) * F.lit(other * other), lambda s, t: s + F.element_at(squares, t))
+        dot = F.aggregate(shared, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(row["weight"], t), F.lit(0.0)))
         return F.struct((-F.round(dot / F.sqrt(length), 6)).alias("c"), row["licence"].alias("licence"))
 
+    def enough(found, row):
+        return F.size(F.array_intersect(found, row["rare"])) >= row["k"]
+
+    def starts(found, row):
+        spans = F.filter(F.sequence(F.lit(1), F.size(found), row["span"]), lambda a: enough(F.slice(found, a, row["span"] + row["n"] - 1), row))
+        return F.flatten(F.transform(spans, lambda a: F.sequence(a, F.least(a + row["span"] - 1, F.size(found)))))
+
     def best(found):
-        near = F.filter(table, lambda r: F.size(F.array_intersect(found, r["rare"])) >= r["k"])
-        at = F.filter(F.array(*map(F.lit, STARTS)), lambda a: a <= F.size(found))
-        return F.array_min(F.flatten(F.transform(near, lambda r: F.transform(at, lambda a: cosine(F.array_distinct(F.slice(found, a, r["n"])), r)))))
+        near = F.filter(table, lambda r: enough(found, r))
+        return F.array_min(F.flatten(F.transform(near, lambda r: F.transform(
+            starts(found, r), lambda a: cosine(F.array_distinct(F.slice(found, a, r["n"])), r)))))
 
-    region = F.array(F.slice(cut(F.substring(text, 1, REGION_CHARS)), 1, REGION))
-    enough = F.filter(region, lambda t: F.size(F.array_intersect(t, some)) >= min(r["k"] for r in rows))
-    top = F.array_min(F.transform(enough, best))
+    mixed = F.filter(pieces(text), lambda t: F.size(F.array_intersect(t, some)) >= min(r["k"] for r in rows))
+    top = F.array_min(F.array_compact(F.transform(mixed, best)))
     return F.when(top["c"] <= -least, top)
 
 
 def own_licence(text, templates: dict[str, str], least: float, whole: tuple[tuple[str, str], ...] = WHOLE):
-    """struct(c, licence): the better of a text's best line and its opening, c being minus the cosine; null under ``least``."""
-    return F.array_min(F.array_compact(F.array(line_licence(text, templates, least), opening_licence(text, whole, least))))
+    """struct(c, licence): the better of a text's best line and its best stretch, c being minus the cosine; null under ``least``."""
+    return F.array_min(F.array_compact(F.array(line_licence(text, templates, least), stretch_licence(text, whole, least))))
 
 
 def folder(path):

@@ -362,6 +362,46 @@ def test_fewest_terms_are_necessary():
             assert sum(idf[t] * v for t, v in u.items() if t in line) / size < 0.6 or len(set(rare) & line) >= k
 
 
+def test_licence_notices_anywhere_in_a_text(spark, monkeypatch):
+    """Notices wrapped over lines at any place of short and long texts, against the same stretches made in Python."""
+    monkeypatch.setattr(licenses, "PIECE", 3_000)
+    monkeypatch.setattr(licenses, "OVERLAP", 2_500)
+    unit, idf, other = licenses.whole_weights(licenses.WHOLE)
+    rng = random.Random(8)
+    plain = [a + b for a in ("ba", "ko", "mi", "zu") for b in ("la", "ne", "ri", "so")] + ["the", "of", "use", "software", "copy", "terms"]
+
+    def wrap(w):
+        return "\n".join("# " + " ".join(w[i:i + 6]) for i in range(0, len(w), 6))
+
+    def brute(text):
+        found = []
+        for at in range(0, max(len(text), 1), licenses.PIECE):
+            t = licenses.terms(text[at:at + licenses.PIECE + (licenses.OVERLAP if len(text) > licenses.PIECE else 0)])
+            for i, (name, x) in enumerate(licenses.WHOLE):
+                n = len(licenses.terms(x))
+                for a in range(len(t)):
+                    w = set(t[a:a + n])
+                    c = sum(idf[y] * v for y, v in unit[str(i)].items() if y in w) / math.sqrt(sum(idf.get(y, other) ** 2 for y in w))
+                    found.append((-round(c, 6), name))
+        c, name = min(found, default=(0, None))
+        return (name, -c) if c <= -0.6 else (None, None)
+
+    texts, planted = [], []
+    for i in range(28):
+        name, x = licenses.WHOLE[i % len(licenses.WHOLE)]
+        before, after = ([rng.choice(plain) for _ in range(rng.choice((3, 250, 2_000)))] for _ in range(2))
+        texts.append(wrap(before + x.split() + after))
+        planted.append({name} | ({"BSD-2-Clause", "BSD-3-Clause"} if "BSD" in name else set()))
+    texts += [wrap([rng.choice(plain) for _ in range(3_000)]), "x" * 20_000, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    best = licenses.stretch_licence(licenses.F.col("text"), licenses.WHOLE, 0.6)
+    got = {r.doc_id: r.best for r in d.select("doc_id", best.alias("best")).collect()}
+    for i, t in enumerate(texts):
+        name, c = brute(t)
+        assert (got[i] and got[i].licence) == name and (c is None or abs(got[i].c + c) < 2e-6), (i, got[i], name, c)
+        assert i >= len(planted) or name in planted[i]
+
+
 def test_op6_has_the_lower_least(spark, tmp_path):
     docs(spark, [(1, "words\nMIT License", "s"), (2, "words", "t")]).write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.licence for r in queries.op6_licenses(spark, str(tmp_path)).collect()} == {1: "MIT", 2: None}
