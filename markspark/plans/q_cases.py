@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markspark.operators import clean, joins, label, stats
+from markspark.operators import clean, concat, joins, label, stats
 from markspark.plans import adapters as ad
 from markspark.plans.oracle import CASE_CHAIN, CLASS_CHAIN, with_
 from markspark.plans.registry import query
@@ -165,6 +165,21 @@ def q_statement_concat(spark, sf):
     return stats.concat_text(ad.statements(spark, sf), "serial_no", "statement_text", "seq")
 
 
+TRANSCRIPT_CHARS = 16_384
+
+
+@query("role_transcripts", "A2", with_(["statements"], f"""
+select statement_type_cd, place // {TRANSCRIPT_CHARS} as segment, cast(min(place) as bigint) as start,
+  string_agg(statement_text, ' ' order by place) as statement_text
+from (select statement_type_cd, statement_text, cast(coalesce(sum(length(statement_text) + 1) over (partition by statement_type_cd
+    order by serial_no nulls first, seq nulls first, statement_text rows between unbounded preceding and 1 preceding), 0) as bigint) as place
+  from statements where statement_text is not null)
+group by statement_type_cd, place // {TRANSCRIPT_CHARS}"""))
+def q_role_transcripts(spark, sf):
+    """All statements of a role in one text: a few keys hold all rows, so the text comes in segments."""
+    return concat.concat_segments(ad.statements(spark, sf), "statement_type_cd", "statement_text", ["serial_no", "seq"], TRANSCRIPT_CHARS)
+
+
 @query("prefix_split_concat", "P10 A2", with_(["statements"], """
 select 'pm' as part, serial_no, string_agg(statement_text, ' ' order by seq) as statement_text
 from statements where coalesce(starts_with(trim(statement_type_cd), 'sys'), false) group by serial_no
