@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.functions.numeric import vec_columns, vec_sub
+from markspark.functions.numeric import md5_unit, vec_columns, vec_sub
 from markspark.functions.text import tokens
 from markspark.operators.joins import maybe_broadcast
 
 #: Most columns that one_hot makes of its own accord.
 MAX_CODES = 1000
+#: Characters of a token cut into n-grams at once.
+NGRAM_PIECE = 1024
 
 
 def one_hot(df: DataFrame, col: str, prefix: str, values: list | None = None, drop: bool = True) -> DataFrame:
@@ -55,6 +57,49 @@ def sentence_vectors(df: DataFrame, key: str, text: str, word_vectors: DataFrame
         key, F.array(*[F.coalesce(f"_d{i}", F.lit(0.0)) for i in range(dims)]).alias(out))
 
 
+def char_ngrams(token, lengths: tuple[int, int] = (3, 6)) -> tuple[Column, Column]:
+    """(pieces, grams): the character n-grams of ``<token>`` are those that the function ``grams`` makes of each of ``pieces``.
+
+    A piece has ``NGRAM_PIECE`` characters and as many of the next as a gram beginning in it needs, so a very long token
+    is never one long list of grams.
+    """
+    low, high = lengths
+    parts = F.regexp_extract_all(F.concat(F.lit("<"), token, F.lit(">")), F.lit(f"(?s).{{1,{NGRAM_PIECE}}}"), F.lit(0))
+    pieces = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.substring(F.get(parts, i + 1), 1, high - 1), F.lit(""))))
+
+    def grams(piece):
+        def of(n):
+            last = F.least(F.lit(NGRAM_PIECE), F.length(piece) - n + 1)
+            return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(piece, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(*[of(n) for n in range(low, high + 1)])
+
+    return pieces, grams
+
+
+def with_unknown(df: DataFrame, text: str, word_vectors: DataFrame, ngram_vectors: DataFrame, buckets: int,
+                 lengths: tuple[int, int] = (3, 6)) -> DataFrame:
+    """M1: ``word_vectors(token, vector)`` and a vector for each other token of ``df``'s texts.
+
+    An unknown token's vector is the mean of the vectors of the n-grams of ``<token>``, each occurrence counted;
+    ``ngram_vectors(bucket, vector)`` has them by md5 of the gram modulo ``buckets``. Grams without a vector are
+    left out, and a token with none stays unknown. Work on n-grams grows with the distinct unknown tokens, not the
+    texts; a null or empty text has no token; without ``buckets`` nothing is added.
+    """
+    known = word_vectors.select("token", F.col("vector").cast("array<double>").alias("vector"))
+    dims = ngram_vectors.select(F.max(F.size("vector"))).first()[0] or 0
+    if buckets < 1 or dims < 1:
+        return known
+    new = df.select(F.explode(tokens(F.lower(F.col(text)))).alias("token")).distinct().join(known.select("token"), "token", "left_anti")
+    pieces, grams = char_ngrams(F.col("token"), lengths)
+    bucket = (md5_unit(F.col("gram")) % F.lit(buckets)).alias("bucket")
+    hashed = (new.select("token", F.explode(pieces).alias("piece")).select("token", F.explode(grams(F.col("piece"))).alias("gram"))
+              .select("token", bucket).groupBy("token", "bucket").agg(F.count(F.lit(1)).alias("times")))
+    vectors = ngram_vectors.select("bucket", *[F.col("vector")[i].cast("double").alias(f"_d{i}") for i in range(dims)])
+    joined = hashed.join(maybe_broadcast(vectors, row_bytes=64 + 8 * dims), "bucket")
+    made = joined.groupBy("token").agg(*[(F.sum(F.col(f"_d{i}") * F.col("times")) / F.sum("times")).alias(f"_d{i}") for i in range(dims)])
+    return known.unionByName(made.select("token", F.array(*[f"_d{i}" for i in range(dims)]).alias("vector")))
+
+
 def vector_diff(df: DataFrame, key: str, a: str, b: str, word_vectors: DataFrame, out: str = "v") -> DataFrame:
     """M2: sentence vector of text ``a`` minus that of text ``b``."""
     va = sentence_vectors(df, key, a, word_vectors, out="_va")

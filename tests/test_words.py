@@ -40,6 +40,29 @@ def test_word_vectors_have_length_one_before_the_mean(spark):
     assert math.isclose(math.hypot(*one), 1.0, abs_tol=1e-6)
 
 
+def test_unknown_tokens_have_the_mean_of_their_ngrams(spark, monkeypatch):
+    from hashlib import md5
+    monkeypatch.setattr(features, "NGRAM_PIECE", 8)
+    buckets = 50
+    table = {b: [float(b % 7) - 3, float(b % 11)] for b in range(buckets) if b % 3}
+    grams = spark.createDataFrame(list(table.items()), "bucket long, vector array<float>")
+    wv = spark.createDataFrame([("known", [1.0, 2.0])], "token string, vector array<float>")
+    texts = ["Known a", "boxes boxes running", "überlang" * 5, "abcdef", "abcdefg", "x" * 5_000, "", None, "known known"]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "id long, text string, token string, bucket int").repartition(3)
+    got = {r.token: r.vector for r in features.with_unknown(d, "text", wv, grams, buckets).collect()}
+    want = {"known": [1.0, 2.0]}
+    for t in {w for x in texts for w in (x or "").lower().split()} - {"known"}:
+        w = f"<{t}>"
+        found = [int(md5(w[i:i + n].encode()).hexdigest()[:8], 16) % buckets for n in range(3, 7) for i in range(len(w) - n + 1)]
+        v = [table[b] for b in found if b in table]
+        if v:
+            want[t] = [sum(x) / len(v) for x in zip(*v, strict=True)]
+    assert set(got) == set(want) and "überlang" * 5 in got
+    for t, v in want.items():
+        assert got[t] == pytest.approx(v, abs=1e-9), t
+    assert features.with_unknown(d, "text", wv, grams.limit(0), buckets).count() == features.with_unknown(d.limit(0), "text", wv, grams, buckets).count() == 1
+
+
 def test_one_hot_names_a_bounded_number_of_columns(spark):
     d = spark.createDataFrame([(3,), (1,), (None,)], "c int")
     assert features.one_hot(d, "c", "x_").columns == ["x_1", "x_3"]
