@@ -5,9 +5,9 @@ A text's symbols are its words and one end. The tree's states are contexts of
 
 Training goes level by level, each level one scan and one aggregation:
 
-* Candidates of level 1 are the words (and the begin mark) seen often enough (a
-  count that grows as the root of the corpus), those of level k the contexts
-  seen as often that are a state without their oldest and without their newest
+* Candidates of level 1 are the words (and the begin mark) seen ``LEAST_CONTEXT``
+  times or more (the same count for a corpus of any size), those of level k the
+  contexts seen as often that are a state without their oldest and without their newest
   symbol. What follows a candidate is counted; what follows it often enough
   (an eighth of that count) is one of its explicit next symbols.
 * Divergence test: with n of a context's N next symbols explicit, each symbol's
@@ -40,7 +40,7 @@ unknown symbol, so every score is 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from math import ceil, inf
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +51,10 @@ from markspark.llm.common import stored
 from markspark.llm.words import NOT_SPACE, mix, row_words
 
 DEPTH = 3
-#: A candidate was seen LEAST_CONTEXT times and sqrt(training tokens) / ROOT_SHARE times, a context's explicit symbol
-#: COUNT_SHARE times less often.
-LEAST_CONTEXT, ROOT_SHARE, COUNT_SHARE = 16, 128, 8
+#: A candidate was seen LEAST_CONTEXT times, a context's explicit symbol COUNT_SHARE times less often.
+LEAST_CONTEXT, COUNT_SHARE = 16, 8
+#: sqrt(training tokens) / ROOT_SHARE, the least count that grew with the corpus, is none: the model has one rule at every size.
+ROOT_SHARE = inf
 GAIN = 2.0
 MASS = 16.0
 #: Keys in the broadcast table (20 bytes each).
@@ -262,8 +263,7 @@ def fit(texts: DataFrame, depth: int = DEPTH) -> Tree:
     tokens, types = seen.filter(F.col("key") != begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = tokens + types + 1
     root = seen.filter(F.col("key") != begin).select("key", "n", ((F.col("n") + 1) / F.lit(float(norm))).alias("p"))
-    least = max(LEAST_CONTEXT, ceil(sqrt(tokens) / ROOT_SHARE))
-    few = ceil(least / COUNT_SHARE)
+    least, few = LEAST_CONTEXT, ceil(LEAST_CONTEXT / COUNT_SHARE)
     terms = root.select(_tagged("key", _WORD).alias("key"), "n", F.log10(F.col("n") + 1.0).alias("add"), F.lit(True).alias("known"))
     candidates = seen.filter((F.col("n") >= least) & (F.col("key") != end)).select(
         F.col("key").alias("ctx"), F.lit(None).cast("long").alias("suffix"), F.col("n").alias("total"))
