@@ -2,9 +2,12 @@
 
 The model scores once; rounds resample the scored rows. Exact draws:
 ``rounds x n`` draw ids, each mapped to a row index by md5(seed, round, k)
-mod n, then one hash join to the globally indexed scored table (uniform
-keys, so no skew). Poisson draws: every row gets a Poisson(1) weight per
-round from the same hash; no join at all. Rounds are independent (the
+mod n. A task makes the draws of a run of k for all rounds and deals them out
+by blocks of row indices, two bytes a draw; a block's draws meet its indexed
+rows in one cogroup and leave as counts by (round, score, label, pred).
+Poisson draws: every row gets a Poisson(1) weight per round from the same hash
+in the scan; the weights leave it summed by (round, score, label, pred).
+No draw is a row of its own. Rounds are independent (the
 reference resampled the previous round's sample; see README).
 """
 
@@ -12,23 +15,146 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspark.functions.numeric import md5_unit
+from markspark.functions.draws import counted_heads, text_heads
 from markspark.operators.evaluate import report_from_counts
 from markspark.operators.order import global_index, prefix_sums
 from markspark.session import materialize
 
+#: Draws that a task makes, and weights that it holds, at once; most draws of a block of row indices that meet its rows.
+_MADE, _MET = 1 << 22, 1 << 20
+
+
+def block_bits(rounds: int) -> int:
+    """A block has 2 to this row indices: about ``_MET`` draws in all rounds."""
+    return min(15, max(8, (_MET // max(rounds, 1)).bit_length() - 1))
+
 
 def draws(spark, n: int, rounds: int, seed: int) -> DataFrame:
-    """(round, idx): ``rounds`` samples of ``n`` row indices with replacement."""
-    total = rounds * n
-    parts = max(spark.sparkContext.defaultParallelism, total // 2_000_000)
-    r = spark.range(0, total, 1, parts)
-    rnd = F.floor(F.col("id") / F.lit(n)).cast("int")
-    k = F.col("id") % F.lit(n)
-    return r.select(rnd.alias("round"), (md5_unit(F.lit(seed), rnd, k, digits=15) % F.lit(n)).alias("idx"))
+    """(block, counts, places): ``rounds`` samples of ``n`` row indices with replacement. A row has the draws that one run of
+    numbers k gives to one block of indices: how many in each round (int32), and their places in the block (uint16),
+    round by round."""
+    parallel, bits = spark.sparkContext.defaultParallelism, block_bits(rounds)
+    size = max(1, min(_MADE // rounds, -(-n // (2 * parallel))))
+    heads, prefixes = counted_heads(), [f"{seed}|{r}|".encode() for r in range(rounds)]
+
+    def run(batches):
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                made = []
+                for _, r, h in heads(prefixes, first, min(n, first + size)):
+                    idx = h % np.uint64(n)
+                    made.append(idx >> np.uint64(bits) << np.uint64(32) | np.uint64(r << bits) | idx & np.uint64((1 << bits) - 1))
+                made = np.sort(np.concatenate(made))
+                block = (made >> np.uint64(32)).astype(np.int64)
+                at = np.flatnonzero(np.diff(block, prepend=-1))
+                row = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(made))))
+                r = (made & np.uint64(0xFFFFFFFF)).astype(np.int64) >> bits
+                counts = np.bincount(row * rounds + r, minlength=len(at) * rounds).astype("<i4")
+                places = (made & np.uint64((1 << bits) - 1)).astype("<u2")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[at]),
+                     pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * 4 * rounds), pa.py_buffer(counts)]),
+                     pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(made)).astype(np.int32) * 2), pa.py_buffer(places)])],
+                    names=["block", "counts", "places"])
+
+    runs = spark.range(0, n, size, max(1, -(-n // size)))
+    return runs.mapInArrow(run, "block long, counts binary, places binary")
+
+
+def _coded():
+    """A function giving each row's number among the distinct rows of some columns, and one row of each."""
+    def coded(columns):
+        code = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            c = c.dictionary_encode(null_encoding="encode")
+            code = np.unique(code * max(1, len(c.dictionary)) + c.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        return code, np.unique(code, return_index=True)[1]
+
+    return coded
+
+
+_SCORED = ("prob", "label", "pred")
+
+
+def _weights_schema(slim: DataFrame) -> str:
+    kind = dict(slim.dtypes)
+    return "round int, " + ", ".join(f"{c} {kind[c]}" for c in _SCORED) + ", w long"
+
+
+def drawn_weights(indexed: DataFrame, drawn: DataFrame, rounds: int) -> DataFrame:
+    """(round, prob, label, pred, w) of ``indexed(idx, prob, label, pred)``: how often rows like that are in ``drawn``, summed by
+    block of indices."""
+    bits, coded, scored = block_bits(rounds), _coded(), _SCORED
+
+    def meet(drawn, rows):
+        def whole(table, name):
+            c = table.column(name)
+            return pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+
+        columns = [whole(rows, c) for c in scored]
+        if not drawn.num_rows or not rows.num_rows:
+            cells, w, group, first = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, np.zeros(0, np.int64)
+        else:
+            code, first = coded(columns)
+            at, group = np.zeros(1 << bits, np.int64), len(first)
+            at[whole(rows, "place").to_numpy()] = code
+            counts = np.frombuffer(b"".join(whole(drawn, "counts").to_pylist()), "<i4")
+            places = np.frombuffer(b"".join(whole(drawn, "places").to_pylist()), "<u2")
+            r = np.repeat(np.tile(np.arange(rounds), drawn.num_rows), counts)
+            cells, w = np.unique(r * group + at[places], return_counts=True)
+        like = first[cells % group] if len(cells) else cells
+        return pa.table([pa.array((cells // group).astype(np.int32)), *[c.take(pa.array(like)) for c in columns], pa.array(w.astype(np.int64))],
+                        names=["round", *scored, "w"])
+
+    rows = indexed.select(F.shiftright("idx", bits).alias("block"), F.col("idx").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("place"), *scored)
+    return drawn.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(meet, _weights_schema(indexed))
+
+
+def poisson_weights(slim: DataFrame, key: list[str], rounds: int, seed: int) -> DataFrame:
+    """(round, prob, label, pred, w) of ``slim(key..., prob, label, pred)``: the Poisson(1) weights of rows like that, summed by
+    run of rows; weight 0 too."""
+    heads, prefixes, cdf = text_heads(), [f"{seed}|{r}".encode() for r in range(rounds)], poisson1_cdf()
+    coded, scored, size = _coded(), _SCORED, max(1 << 10, min(1 << 17, _MADE // max(rounds, 1)))
+
+    def run_of(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        text, *columns = [pa.concat_arrays(c.chunks) for c in table.columns]
+        off = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        code, first = coded(columns)
+        weights = np.zeros((rounds, len(first)))
+        for rows, r, h in heads(prefixes, data, off):
+            u = h.astype(np.float64) / float(1 << 60)
+            w = np.zeros(len(u))
+            for c in cdf:
+                more = u >= c
+                if not more.any():
+                    break
+                w += more
+            weights[r] += np.bincount(code[rows], w, len(first))
+        like = pa.array(np.tile(first, rounds))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(rounds, dtype=np.int32), len(first))), *[c.take(like) for c in columns],
+             pa.array(weights.ravel().astype(np.int64))], names=["round", *scored, "w"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= size:
+                yield run_of(held)
+                held, n = [], 0
+        if n:
+            yield run_of(held)
+
+    text = F.concat_ws("|", F.lit(""), *[F.col(k).cast("string") for k in key]).alias("_text")
+    return slim.select(text, *_SCORED).mapInArrow(run, _weights_schema(slim))
 
 
 def poisson1_cdf(kmax: int = 16) -> list[float]:
@@ -41,14 +167,6 @@ def poisson1_cdf(kmax: int = 16) -> list[float]:
     return out
 
 
-def _poisson1(u: Column, kmax: int = 16) -> Column:
-    """Poisson(1) variate by inverse CDF from a uniform ``u`` in [0, 1)."""
-    expr = None
-    for k, c in enumerate(poisson1_cdf(kmax)):
-        expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
-    return expr.otherwise(F.lit(kmax))
-
-
 def _round_metrics(w: DataFrame) -> DataFrame:
     """Per round: accuracy, AUC, weighted precision/recall/f1 from rows with
     columns (round, label, prob, pred, w).
@@ -80,24 +198,15 @@ def bootstrap(scored: DataFrame, key: list[str], rounds: int = 30, seed: int = 4
     """Per round: accuracy, AUC, weighted precision, recall and f1."""
     slim = scored.select(*key, F.col(label).alias("label"), F.col(prob).alias("prob"), F.col(pred).alias("pred"))
     if method == "poisson":
-        rnd = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
-        x = slim.select("*", rnd)
-        u = md5_unit(F.lit(seed), F.col("round"), *[F.col(k) for k in key], digits=15).cast("double") / F.lit(float(1 << 60))
-        # u gets its own column so the md5 is computed once per row, not per CASE
-        # branch; rows drawn 0 times stay (weight 0 adds nothing) so that no
-        # filter pulls the CASE, and with it the md5, below that column
-        w = x.withColumn("_u", u).withColumn("w", _poisson1(F.col("_u"))).drop("_u")
-        return _round_metrics(w)
+        return _round_metrics(poisson_weights(slim, key, rounds, seed))
     if method != "exact":
         raise ValueError(f"unknown bootstrap method {method!r}")
     # the key orders the rows; the scored columns break any tie in the key
-    ix = global_index(slim, [F.col(k) for k in key] + [F.col("prob"), F.col("label"), F.col("pred")])
+    ix = global_index(slim, [F.col(k) for k in key] + [F.col(c) for c in _SCORED], keep=list(_SCORED))
     n = ix.count()
     if n == 0:
         return scored.sparkSession.createDataFrame([], "round int, accuracy double, auc double, precision double, recall double, f1 double")
-    d = draws(scored.sparkSession, n, rounds, seed)
-    j = d.join(ix.select("idx", "label", "prob", "pred"), "idx").withColumn("w", F.lit(1))
-    return _round_metrics(j)
+    return _round_metrics(drawn_weights(ix, draws(scored.sparkSession, n, rounds, seed), rounds))
 
 
 def bootstrap_summary(results: DataFrame, metrics=("accuracy", "auc", "precision", "recall", "f1"),

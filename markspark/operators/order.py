@@ -35,14 +35,14 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def sorted_positions(df: DataFrame, order: list, partition_by: list[str] | None = None) -> DataFrame:
-    """Sort, tag each row with its partition and in-partition position, checkpoint."""
+def sorted_positions(df: DataFrame, order: list, partition_by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Sort, tag each row with its partition and in-partition position, checkpoint (of the columns, those in ``keep`` if given)."""
     pb = list(partition_by or [])
     s = (df.orderBy(*_cols(pb), *_cols(order))
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
     checkpoint_dir(df.sparkSession)
-    return s.checkpoint(eager=True)
+    return (s if keep is None else s.select(*keep, "_pid", "_pos")).checkpoint(eager=True)
 
 
 def _offsets(s: DataFrame, pb: list[str], values: dict[str, Column]) -> DataFrame:
@@ -78,13 +78,14 @@ def _null_safe(s: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
 
 
 def global_index(df: DataFrame, order: list, partition_by: list[str] | None = None,
-                 out: str = "idx", total: str | None = "n_total") -> DataFrame:
+                 out: str = "idx", total: str | None = "n_total", keep: list[str] | None = None) -> DataFrame:
     """0-based position of each row in ``order`` (within ``partition_by`` groups).
 
-    Adds ``out`` and, if ``total`` is set, the group's row count.
+    Adds ``out`` and, if ``total`` is set, the group's row count. ``keep`` names the columns to go on with (all; those of
+    ``partition_by`` stay), so that columns only ordered by are not stored.
     """
     pb = list(partition_by or [])
-    s = sorted_positions(df, order, pb)
+    s = sorted_positions(df, order, pb, None if keep is None else [*pb, *[c for c in keep if c not in pb]])
     small = _offsets(s, pb, {}).select(*pb, "_pid", "_first", "_off", "_n")
     j = _null_safe(s, _bounded(small, pb), [*pb, "_pid"])
     j = j.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_first"))
