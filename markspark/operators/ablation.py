@@ -34,6 +34,8 @@ from markspark.session import materialize
 
 #: Corrections that L-BFGS remembers.
 MEMORY = 6
+#: Terms in a block of scaled rows, numbers in a part of a gradient.
+_TERMS, _PART = 1 << 18, 1 << 15
 
 
 def fixed_order(*segments: int) -> Column:
@@ -102,37 +104,84 @@ def _margins():
     return margins
 
 
-def _loss_and_gradient(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, idf):
-    """Per variant: rows, summed loss, gradient of the intercept, gradient of the weights. One job for all of them;
-    ``idf`` is broadcast already, once for all steps."""
-    shared, margins = rows.sparkSession.sparkContext.broadcast((weights, bias)), _margins()
+def _scaled_blocks(train: DataFrame, idf) -> DataFrame:
+    """(variant, label, size, at, value), stored: the rows' labels, numbers of terms, buckets and scaled values as bytes, in blocks
+    of one variant and about ``_TERMS`` terms. ``idf`` is broadcast already. The scaling is done here once, not in every step."""
+    most = _TERMS
 
     def run(batches):
-        (w, b), f = shared.value, idf.value
-        grad, per = np.zeros(w.size), np.zeros((3, len(b)))
+        f, held = idf.value, {}
+
+        def block(v):
+            y, size, at, value = (np.concatenate(x) for x in zip(*held.pop(v)[1], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (y, size, at, value)]],
+                                              names=["variant", "label", "size", "at", "value"])
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                variant, y = np.asarray(batch.column(0), dtype=np.int64), np.asarray(batch.column(1))
+                size = np.asarray(batch.column(2).value_lengths(), dtype=np.int32)
+                row, at = np.repeat(np.arange(len(y)), size), np.asarray(batch.column(2).flatten(), dtype=np.int32)
+                value = np.asarray(batch.column(3).flatten(), dtype=np.float64) * f[variant[row], at]
+                length = np.sqrt(np.bincount(row, value * value, len(y)))
+                value *= np.divide(1.0, length, out=np.zeros(len(y)), where=length > 0)[row]
+                for v in np.unique(variant).tolist():
+                    own = variant == v
+                    terms = own[row]
+                    n, parts = held.get(v, (0, []))
+                    held[v] = n + int(terms.sum()), [*parts, (y[own], size[own], at[terms], value[terms])]
+                    if held[v][0] >= most:
+                        yield block(v)
+        for v in list(held):
+            yield block(v)
+
+    rows = train.select("variant", "label", "idx", "tf")
+    return materialize(rows.mapInArrow(run, "variant int, label binary, size binary, at binary, value binary"))
+
+
+def _loss_and_gradient(blocks: DataFrame, weights: np.ndarray, bias: np.ndarray):
+    """Per variant: rows, summed loss, gradient of the intercept, gradient of the weights. One job for all of them, with a task a
+    core: a task's gradient is summed over all its blocks, so what is shuffled does not grow with the rows."""
+    spark, k, size = blocks.sparkSession, len(bias), _PART
+    shared = spark.sparkContext.broadcast((weights, bias))
+
+    def run(batches):
+        w, b = shared.value
+        grad, per = np.zeros_like(w), np.zeros((3, k))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = batch.column(0)[i].as_py()
+                y, n, at, value = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, "<f8"), (2, "<i4"), (3, "<i4"), (4, "<f8")))
+                row = np.repeat(np.arange(len(y)), n)
+                m = np.bincount(row, value * w[v][at], len(y)) + b[v]
+                off = 1 / (1 + np.exp(-np.clip(m, -500, 500))) - y
+                grad[v] += np.bincount(at, value * off[row], w.shape[1])
+                per[:, v] += len(y), (np.logaddexp(0, m) - y * m).sum(), off.sum()
+        flat = np.concatenate([per.ravel(), grad.ravel()])
+        parts = [(p, x.tobytes()) for p, x in ((p, flat[p * size:(p + 1) * size]) for p in range(-(-len(flat) // size))) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())],
+                                         names=["part", "v"])
+
+    def added(batches):
+        total = {}
         for batch in batches:
-            variant = np.asarray(batch.column(0), dtype=np.int64)
-            y = np.asarray(batch.column(1))
-            row, at, value, m = margins(variant, batch.column(2), batch.column(3), w, b, f)
-            off = 1 / (1 + np.exp(-np.clip(m, -500, 500))) - y
-            grad += np.bincount(at, value * off[row], w.size)
-            for i, x in enumerate((np.ones(len(y)), np.logaddexp(0, m) - y * m, off)):
-                per[i] += np.bincount(variant, x, len(b))
-        at = np.flatnonzero(grad)
-        some = [(at, grad[at])] + [(np.arange(len(b)) - (i + 1) * len(b), per[i]) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in some])), pa.array(np.concatenate([x for _, x in some]))],
-                                         names=["at", "v"])
-
-    got = (rows.select("variant", "label", "idx", "tf").mapInArrow(run, "at long, v double")
-           .groupBy("at").agg(F.sum("v").alias("v")).toArrow())  # at most variants x (buckets + 3) rows
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), "<f8")
+                total[p] = total[p] + x if p in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
+                                         names=["part", "v"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    got = (blocks.coalesce(tasks).mapInArrow(run, "part int, v binary").repartition(tasks, "part")
+           .mapInArrow(added, "part int, v binary").toArrow())  # variants x (buckets + 3) numbers
     shared.destroy()
-    at, v = np.asarray(got.column(0)), np.asarray(got.column(1))
-    grad, per = np.zeros(weights.size), np.zeros((3, len(bias)))
-    grad[at[at >= 0]] = v[at >= 0]
-    for i in range(3):
-        own = (at < -i * len(bias)) & (at >= -(i + 1) * len(bias))
-        per[i][at[own] + (i + 1) * len(bias)] = v[own]
-    return per[0], per[1], per[2], grad.reshape(weights.shape)
+    flat = np.zeros(3 * k + weights.size)
+    for p, x in zip(got.column(0).to_pylist(), got.column(1), strict=True):
+        x = np.frombuffer(x.as_buffer(), "<f8")
+        flat[p * size:p * size + len(x)] = x
+    per = flat[:3 * k].reshape(3, k)
+    return per[0], per[1], per[2], flat[3 * k:].reshape(weights.shape)
 
 
 def _direction(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -168,9 +217,11 @@ def fit_together(rows: DataFrame, names: list[str], buckets: int, reg: float = 0
         return out
 
     shared = rows.sparkSession.sparkContext.broadcast(idf)
+    blocks = _scaled_blocks(train, shared)
+    shared.destroy()
 
     def measured(points, active):
-        n, loss, db, dw = _loss_and_gradient(train.filter(F.col("variant").isin(active)), points[:, :-1], points[:, -1], shared)
+        n, loss, db, dw = _loss_and_gradient(blocks.filter(F.col("variant").isin(active)), points[:, :-1], points[:, -1])
         out.evaluations += 1
         n = np.maximum(n, 1)
         g = np.concatenate([dw / n[:, None] + reg * points[:, :-1], (db / n)[:, None]], axis=1)
@@ -198,7 +249,6 @@ def fit_together(rows: DataFrame, names: list[str], buckets: int, reg: float = 0
             way[v] = _direction(g[v], steps[v])
             if np.abs(g[v]).max() <= tol:
                 active.remove(v)
-    shared.destroy()
     return out
 
 

@@ -86,3 +86,32 @@ def test_a_step_is_one_job_without_a_join(spark):
     rows = ab.variant_rows(rows_of(spark), "id", "y", [F.col("a")], {"a": ab.fixed_order(0)}, B, F.lit(False))
     plan = ab.score_variants(rows, ab.fit_together(rows, ["a"], B), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_what_a_step_shuffles_does_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ab, "_TERMS", 40)
+    monkeypatch.setattr(ab, "_PART", 50)
+    rows = ab.variant_rows(rows_of(spark, 300), "id", "y", [F.col("a"), F.col("b")], variants(), B, F.lit(False))
+    idf = spark.sparkContext.broadcast(np.random.default_rng(1).uniform(0.5, 2, (4, B)))
+    train = rows.filter("label is not null").repartition(23)
+    blocks = ab._scaled_blocks(train, idf)
+    assert 23 <= blocks.count() < train.count()
+    w, bias = np.random.default_rng(2).normal(size=(4, B)), np.arange(4.0)
+    sent = []
+
+    def counted(self, *a, _of=type(blocks).repartition):
+        sent.append(self.count())
+        return _of(self, *a)
+
+    monkeypatch.setattr(type(blocks), "repartition", counted)
+    n, loss, db, dw = ab._loss_and_gradient(blocks, w, bias)
+    assert sent[0] <= spark.sparkContext.defaultParallelism * -(-(12 + 4 * B) // 50)  # before: up to 23 tasks x (12 + 4 B) rows
+    want = np.zeros((4, B + 3))
+    for r in train.collect():
+        x = np.zeros(B)
+        x[r.idx] = np.array(r.tf) * idf.value[r.variant, r.idx]
+        x /= max(np.linalg.norm(x), 1e-300)
+        m = x @ w[r.variant] + bias[r.variant]
+        off = 1 / (1 + math.exp(-m)) - r.label
+        want[r.variant] += [*(x * off), 1, math.log1p(math.exp(m)) - r.label * m, off]
+    assert np.allclose(np.c_[dw, n, loss, db], want)
