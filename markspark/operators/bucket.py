@@ -108,9 +108,15 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, width: float | N
     return g.select(*cols)
 
 
-def minmax(df: DataFrame, cols: list[str], suffix: str = "_norm") -> DataFrame:
-    """(x - min) / (max - min) per column; a constant column gives NULL."""
-    r = df.agg(*[F.min(c).alias(f"{c}__lo") for c in cols], *[F.max(c).alias(f"{c}__hi") for c in cols]).first()
+def scale_stats(df: DataFrame, cols: list[str]):
+    """Minimum, maximum, mean and sample std of every column, as one row: one pass for both :func:`minmax` and :func:`zscore`."""
+    return df.agg(*[f(c).alias(f"{c}__{k}") for c in cols
+                    for k, f in (("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", F.stddev_samp))]).first()
+
+
+def minmax(df: DataFrame, cols: list[str], suffix: str = "_norm", found=None) -> DataFrame:
+    """(x - min) / (max - min) per column; a constant column gives NULL. ``found``: the columns' :func:`scale_stats`."""
+    r = found or scale_stats(df, cols)
     out = df
     for c in cols:
         lo, hi = r[f"{c}__lo"], r[f"{c}__hi"]
@@ -118,9 +124,9 @@ def minmax(df: DataFrame, cols: list[str], suffix: str = "_norm") -> DataFrame:
     return out
 
 
-def zscore(df: DataFrame, cols: list[str], suffix: str = "_std") -> DataFrame:
-    """(x - mean) / sample std per column."""
-    r = df.agg(*[F.avg(c).alias(f"{c}__m") for c in cols], *[F.stddev_samp(c).alias(f"{c}__s") for c in cols]).first()
+def zscore(df: DataFrame, cols: list[str], suffix: str = "_std", found=None) -> DataFrame:
+    """(x - mean) / sample std per column. ``found``: the columns' :func:`scale_stats`."""
+    r = found or scale_stats(df, cols)
     out = df
     for c in cols:
         out = out.withColumn(c + suffix, F.try_divide(F.col(c) - F.lit(r[f"{c}__m"]), F.lit(r[f"{c}__s"])))

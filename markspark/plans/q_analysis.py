@@ -13,6 +13,7 @@ from markspark.plans import adapters as ad
 from markspark.plans.oracle import CTE, with_
 from markspark.plans.registry import query
 from markspark.plans.sqlkit import SCORE_KEYS, dbl, dlist, r9, sr9
+from markspark.session import stored_rows
 
 KEY = ad.SCORE_KEY
 SEED = 42
@@ -183,7 +184,11 @@ from delays, (select min(delay) as mn_d, max(delay) as mx_d, min(prob) as mn_p,
               from delays where delay is not null) s
 where delay is not null"""))
 def q_delay_norm(spark, sf):
-    d = bucket.zscore(bucket.minmax(_delays(spark, sf), ["delay", "prob"]), ["delay", "prob"])
+    cols = ["delay", "prob"]
+    # the joined rows are stored: the figures and the result read them, and the join is made once
+    joined = stored_rows(_delays(spark, sf).select(*KEY, *cols))
+    found = bucket.scale_stats(joined, cols)
+    d = bucket.zscore(bucket.minmax(joined, cols, found=found), cols, found=found)
     return d.select(*KEY, *[sr9(F.col(c)).alias(c) for c in ("delay_norm", "prob_norm", "delay_std", "prob_std")])
 
 

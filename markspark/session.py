@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -85,3 +86,11 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_rows(df):
+    """``df`` written once as Parquet below the shared checkpoint folder and read back: for large rows that are read more
+    than once, smaller than :func:`materialize` writes them."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/markspark-rows/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
