@@ -45,8 +45,10 @@ from (select doc_id, unnest(range(0, (select max(len(vector)) from wv))) as dim
 VEC = ["lexicon", "wv", "doc_tokens", "doc_vec"]
 
 
-def doc_vectors(spark, sf):
+def doc_vectors(spark, sf, labelled=False):
     d = load(spark, sf, "documents").select("doc_id", "text")
+    if labelled:
+        d = joins.semi(d, load(spark, sf, "labels").select("doc_id"), "doc_id")
     return features.sentence_vectors(d, "doc_id", "text", ad.word_vectors(spark, sf))
 
 
@@ -102,7 +104,8 @@ def doc_base(spark, sf):
 
 def feature_rows(spark, sf):
     base = doc_base(spark, sf).select("doc_id", "label", "n_words", "wn_ind", "lang")
-    return features.feature_table(base, "doc_id", doc_vectors(spark, sf), "vector", N_DIMS,
+    # the table has labelled documents only (J7): no other document's vector is made
+    return features.feature_table(base, "doc_id", doc_vectors(spark, sf, labelled=True), "vector", N_DIMS,
                                   class_col="lang", class_prefix="lang_", class_values=LANGS)
 
 
@@ -135,10 +138,11 @@ TEXT_FEATURES, TEXT_ITER = 1 << 18, 100  # the operator defaults
 
 
 def _gbt(spark, sf):
-    f = materialize(features.assemble(feature_rows(spark, sf), ["doc_id", "label"]))
+    f = features.assemble(feature_rows(spark, sf), ["doc_id", "label"])
+    names = [c for c in f.columns if c not in ("doc_id", "label", "features")]
+    f = materialize(f.select("doc_id", "label", "features"))  # the vector holds the single columns
     train, test = _split(f, "doc_id")
     m = models.train_gbt(train, "features", "label", max_iter=GBT_ITER, max_depth=GBT_DEPTH)
-    names = [c for c in f.columns if c not in ("doc_id", "label", "features")]
     return m, test, names
 
 
