@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import stored
+from markspark.llm.common import giving_back, stored
 
 #: Links one task contracts at a time (two ids and a map entry each).
 _LOCAL = 200_000
@@ -66,7 +66,7 @@ def components(links: DataFrame, kind: str = "binary") -> DataFrame:
     group. Rounds go on until the link table stays the same.
     """
     arrow = pa.binary() if kind == "binary" else pa.int64()
-    edges = stored(links.select("a", "b").mapInArrow(lambda it: contract(it, arrow), f"u {kind}, v {kind}").distinct(), "links")
+    edges = stored(links.select("a", "b").mapInArrow(giving_back(lambda it: contract(it, arrow)), f"u {kind}, v {kind}").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

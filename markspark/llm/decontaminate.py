@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import hashed_blocks, stored
+from markspark.llm.common import giving_back, hashed_blocks, stored
 from markspark.llm.words import ALNUM, column_bytes, row_words, shingles
 
 PAIRS_PER_BLOCK = 50_000
@@ -60,7 +60,7 @@ def _item_probes(items: DataFrame, window: int, min_words: int) -> DataFrame:
                                                      names=["item", "probe"])
 
     src = items.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null")
-    return src.mapInArrow(probe, "item string, probe binary").distinct()
+    return src.mapInArrow(giving_back(probe), "item string, probe binary").distinct()
 
 
 class _Block:
@@ -130,7 +130,7 @@ def _rarity(docs: DataFrame, tokens: dict[int, np.ndarray]) -> dict[int, dict[in
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])],
                                                  names=["k", "token", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k long, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(giving_back(count), "k long, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
     out: dict[int, dict[int, int]] = {k: {} for k in tokens}
     for r in rows.collect():  # at most one row for each shingle of the block
         out[r.k][int(tokens[r.k][r.token])] = r.n
@@ -226,7 +226,7 @@ def _hits(docs: DataFrame, block: _Block) -> DataFrame:
                      pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
                      pa.array(items, pa.list_(pa.string()))], names=["doc_id", "th", "spans", "items"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(scan, _HITS)
+    return docs.select("doc_id", "th", "text").mapInArrow(giving_back(scan), _HITS)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, threshold: float = 1.0,
@@ -253,7 +253,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words)],
                                              names=["doc_id", "th", "n_words"])
 
-    base = docs.select("doc_id", "th", "text").mapInArrow(count, "doc_id long, th long, n_words long")
+    base = docs.select("doc_id", "th", "text").mapInArrow(giving_back(count), "doc_id long, th long, n_words long")
     none = "array<struct<a:long,b:long>>"
     if hits is None:
         return base.select("*", F.expr(f"cast(array() as {none})").alias("spans"),
@@ -292,6 +292,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shi
                     for r, *_ in _matches(b, h, off):
                         hit[first + r] = True
                 yield batch.filter(pa.array(~hit))
+            b.sieve = None
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = out.mapInArrow(giving_back(clean), docs.schema)
     return out

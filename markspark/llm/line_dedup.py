@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markspark.llm.common import giving_back
+
 #: Sketch size (2^10 registers, about 3.3 % standard error) and four standard errors as the exact band.
 LG_K, BAND = 10, 0.13
 #: Occurrences of one line are joined in so many places, each with its copy of the line's one row.
@@ -93,4 +95,4 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10) -> D
                                                  names=[*names, "__lines", "__removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `__lines` long, `__removed` long"
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(giving_back(rebuild), schema)

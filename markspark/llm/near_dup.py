@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import stored
+from markspark.llm.common import giving_back, stored
 from markspark.llm.components import Forest, components
 from markspark.llm.words import NOT_SPACE, mix, row_words, shingles
 
@@ -105,7 +105,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                                               pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
                                              names=["doc_id", "th", "n", "id", "sig"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, id binary, sig binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(giving_back(run), "doc_id long, th long, n long, id binary, sig binary")
 
 
 _BELOW = (np.arange(1, TREES + 1)[:, None] * DEPTH + np.arange(ORDER)[None]) % MINIMA
@@ -166,7 +166,7 @@ def _crowded(sets: DataFrame) -> DataFrame:
     at = f"1 + tree * {8 + ORDER}"
     orders = t.select("tree", F.expr(f"substring(sig, {at}, 8)").alias("key"), F.expr(f"substring(sig, {at} + 8, {ORDER})").alias("below"), "id")
     return (orders.repartitionByRange("tree", "key", "below", "id").sortWithinPartitions("tree", "key", "below", "id")
-            .mapInArrow(run, "tree int, key binary, id binary, near binary"))
+            .mapInArrow(giving_back(run), "tree int, key binary, id binary, near binary"))
 
 
 def _est():
@@ -233,7 +233,7 @@ def _region_links(crowded: DataFrame, sets: DataFrame, least: float) -> DataFram
     spread = _block_pairs(members, F.ceil(F.col("members") / BLOCK_SETS).cast("long"))
     return (spread.select("tree", "key", "lo", "hi", "id", "fam", "est", "own")
             .repartition("tree", "key", "lo", "hi").sortWithinPartitions("tree", "key", "lo", "hi")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(giving_back(run), "a binary, b binary"))
 
 
 def _exact_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, least: float) -> DataFrame:
@@ -252,7 +252,7 @@ def _exact_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, least:
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text").join(
         rows, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
     one = texts.select("fam", "id", "est", "nb", "text").dropDuplicates(["id"])
-    items = one.mapInArrow(full, "fam binary, id binary, est binary, nb long, items binary")
+    items = one.mapInArrow(giving_back(full), "fam binary, id binary, est binary, nb long, items binary")
     spread = _block_pairs(items, F.col("nb"))
     need = least * MINIMA
 
@@ -284,7 +284,7 @@ def _exact_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, least:
                                                   pa.array([rows[y][0] for _, y in links], pa.binary())], names=["a", "b"])
 
     return (spread.select("fam", "lo", "hi", "id", "est", "items", "own").repartition("fam", "lo", "hi")
-            .sortWithinPartitions("fam", "lo", "hi").mapInArrow(run, "a binary, b binary"))
+            .sortWithinPartitions("fam", "lo", "hi").mapInArrow(giving_back(run), "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
