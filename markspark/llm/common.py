@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import weakref
 import zipfile
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,6 +21,7 @@ from markspark.session import checkpoint_dir
 _WRITTEN: list[tuple[weakref.ref, str]] = []
 #: Folders of sent code, kept until the driver ends.
 _SENT: list[tempfile.TemporaryDirectory] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +47,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared checkpoint folder that no result reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def delete_stored() -> None:
     """Delete every table :func:`stored` wrote so far (results that still read them must be saved before)."""
     while _WRITTEN:
         ref, path = _WRITTEN.pop()
         spark = ref()
         if spark is not None:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete_path(spark, path)
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Within it Spark deletes a query's shuffle files as soon as the query ends, not when the driver next collects garbage."""
+    if not spark.conf.isModifiable(_CLEANUP):  # an older Spark
+        yield
+        return
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def _delete_all() -> None:

@@ -24,8 +24,8 @@ state. Its logarithm is a sum of terms of single keys - of the word, of each
 state on the path to the longest one, of each state's explicit next symbol -
 so a text's score is a sum of looked-up terms. The ``HEAD`` keys seen most often
 (a table of bounded size, and with them every hot key) are looked up in the
-scan; all others are joined: a Bloom filter of the remaining keys picks the
-occurrences, which are shuffled by key. Nothing is left out at any size; larger
+scan; all others are joined: in the same scan a Bloom filter of the remaining
+keys picks the occurrences, which are shuffled by key. Nothing is left out at any size; larger
 corpora only join a larger part.
 
 Words are 64-bit hashes. Nothing but the head, the filters (bounded) and a few
@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import stored
+from markspark.llm.common import delete_path, giving_back, hashed_blocks, scratch_path, shuffles_deleted, stored
 from markspark.llm.words import NOT_SPACE, mix, row_words
 
 DEPTH = 3
@@ -63,9 +63,13 @@ HEAD = 1 << 21
 FILTER_BITS = 26
 #: Symbols that a task counts, and scores, at a time.
 _CHUNK, _SCORED = 1 << 21, 1 << 17
+#: Training tokens for which one group of counts is merged.
+_BUCKET = 1 << 21
 
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _STEP = np.uint64(0x9FB21C651E98DF25)
+#: Inverses of mix's factors modulo 2^64.
+_BACK = [np.uint64(pow(f, -1, 1 << 64)) for f in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
 #: What a key is for: the word itself, a state, or a state's next symbol.
 _WORD, _STATE, _NEXT = np.uint64(0), np.uint64(0x510E527FADE682D1), np.uint64(0x9B05688C2B3E6C1F)
 
@@ -75,20 +79,31 @@ def join(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(context * _STEP + symbol)
 
 
+def last(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The symbol of ``key = join(context, symbol)``."""
+    h = (key ^ (key >> np.uint64(32))) * _BACK[0]
+    h = (h ^ (h >> np.uint64(29)) ^ (h >> np.uint64(58))) * _BACK[1]
+    return (h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))) - context * _STEP
+
+
 def symbols(col, size: int = _CHUNK):
     """(first row, rows' starts, symbols) for runs of rows of a text column: each row's begin mark, words and end."""
     def out():
-        n = np.array([len(p) for p in parts])
-        return first, np.concatenate([[0], np.cumsum(n)]), np.concatenate(parts)
+        return first, np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(parts)
 
-    parts, first, held = [], 0, 0
+    lengths, parts, first, held = [], [], 0, 0
     for a, off, h in row_words(col, NOT_SPACE):
-        for i in range(len(off) - 1):
-            parts.append(np.concatenate([[BEGIN], h[off[i]:off[i + 1]], [END]]).astype(np.uint64))
-            held += len(parts[-1])
+        n = np.diff(off) + 2
+        ends = np.cumsum(n)
+        part, word = np.empty(ends[-1], np.uint64), np.ones(ends[-1], bool)
+        word[ends - n] = word[ends - 1] = False
+        part[word], part[ends - n], part[ends - 1] = h[off[0]:off[-1]], BEGIN, END
+        lengths.append(n)
+        parts.append(part)
+        held += len(part)
         if held >= size:
             yield out()
-            parts, first, held = [], a + len(off) - 1, 0
+            lengths, parts, first, held = [], [], a + len(n), 0
     if parts:
         yield out()
 
@@ -110,22 +125,32 @@ def paths(starts: np.ndarray, s: np.ndarray, depth: int):
     return at, levels
 
 
-def _counts(keys: np.ndarray, *more: np.ndarray):
-    """Distinct keys, the other columns at one place of each, and how often each occurs."""
-    _, where, n = np.unique(keys, return_index=True, return_counts=True)
-    return [c[where] for c in more] + [n]
-
-
 class Filter:
     """Bloom filter of 64-bit keys with two bits a key, made by a distributed aggregation."""
 
     def __init__(self, keys: DataFrame, bits: int = FILTER_BITS):
         self.mask = np.uint64((1 << bits) - 1)
-        slots = F.array(*[F.shiftrightunsigned(F.col("key"), by).bitwiseAND(F.lit(int(self.mask))) for by in (5, 33)])
-        found = keys.select(F.explode(slots).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x")).toArrow()  # 2^bits / 64 rows at most
+        part = min(1 << bits, 1 << 19) // 64  # words of a part: each is merged on its own
+
+        def run(batches):
+            set_ = np.zeros(1 << bits, bool)
+            for b in batches:
+                for by in (5, 33):
+                    set_[_unsigned(b.column(0)) >> np.uint64(by) & self.mask] = True
+            words = np.packbits(set_, bitorder="little").view(np.uint64).reshape(-1, part)
+            some = np.flatnonzero(words.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([words[i].tobytes() for i in some], pa.binary())],
+                                             names=["part", "words"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            words = np.bitwise_or.reduce([np.frombuffer(w.as_py(), np.uint64) for w in table.column("words")])
+            return pa.Table.from_arrays([table.column("part").slice(0, 1), pa.array([words.tobytes()], pa.binary())], names=["part", "words"])
+
+        kind = "part int, words binary"
+        found = keys.select("key").mapInArrow(giving_back(run), kind).groupBy("part").applyInArrow(merge, kind).toArrow()  # 2^bits / 8 bytes at most
         self.words = np.zeros(1 << bits - 6, np.uint64)
-        self.words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+        for i, words in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            self.words[i * part:(i + 1) * part] = np.frombuffer(words, np.uint64)
 
     def _bit(self, keys: np.ndarray, by: int) -> np.ndarray:
         b = keys >> np.uint64(by) & self.mask
@@ -188,63 +213,132 @@ def count_symbols(texts: DataFrame, chunk: int = _CHUNK) -> DataFrame:
     """(key, n) of every symbol of ``texts(text)``, begin marks included."""
     def run(batches):
         for _, s in _gathered(batches, chunk):
-            key, n = _counts(s, s)
-            yield pa.RecordBatch.from_arrays(_longs(key, n), names=["key", "n"])
-
-    return texts.mapInArrow(run, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def count_level(texts: DataFrame, k: int, contexts, parents, least: int, chunk: int = _CHUNK) -> DataFrame:
-    """(ctx, symbol, n) of the symbols seen ``least`` times or more after contexts of k symbols, where ``contexts`` has the
-    context's broadcast filter and ``parents`` that of the parent's explicit symbols."""
+            yield pa.RecordBatch.from_arrays(_longs(*np.unique(s, return_counts=True)), names=["key", "n"])
+
+    return texts.mapInArrow(giving_back(run), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """A column's bytes, the first of every number before the second of any: small and sorted numbers then compress well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unplaned(data: bytes, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    return _planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(data), dtype=np.uint64)
+
+
+#: A task's counts that go to one bucket: ascending keys, their numbers, their contexts' places among the contexts held, these
+#: and their suffixes.
+_PACKED = "bucket int, keys binary, n binary, place binary, contexts binary, suffixes binary"
+
+
+def _packed(key: np.ndarray, n: np.ndarray, ctx: np.ndarray, suffix: np.ndarray, buckets: int):
+    """Record batches of ``_PACKED`` for ascending keys, dealt to the buckets by their leading bits."""
+    cut = np.searchsorted(((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    rows, held = [], 0
+    for b in np.flatnonzero(np.diff(cut)):
+        at = slice(cut[b], cut[b + 1])
+        contexts, where, place = np.unique(ctx[at], return_index=True, return_inverse=True)
+        rows.append((int(b), _steps(key[at]), _planes(n[at].astype(np.uint64)), _planes(place.astype(np.uint32)), _steps(contexts),
+                     _planes(suffix[at][where])))
+        held += cut[b + 1] - cut[b]
+        if held >= 1 << 18 or cut[b + 1] == len(key):
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                             names=["bucket", "keys", "n", "place", "contexts", "suffixes"])
+            rows, held = [], 0
+
+
+def _merged(table: pa.Table, k: int, least: int) -> pa.Table:
+    """One bucket's (ctx, key, parent, n, ends) of the keys counted ``least`` times or more."""
+    keys, n, ctx, suffix = [], [], [], []
+    for r in range(table.num_rows):
+        row = [table.column(c)[r].as_py() for c in ("keys", "n", "place", "contexts", "suffixes")]
+        place = _unplaned(row[2], np.uint32)
+        keys.append(_unstepped(row[0]))
+        n.append(_unplaned(row[1]))
+        ctx.append(_unstepped(row[3])[place])
+        suffix.append(_unplaned(row[4])[place])
+    keys, n, ctx, suffix = (np.concatenate(x) for x in (keys, n, ctx, suffix))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.add.reduceat(n[order], first)
+    often = np.flatnonzero(n >= least)
+    key, where = keys[first[often]], order[first[often]]
+    symbol = last(ctx[where], key)
+    parent = symbol if k == 1 else join(suffix[where], symbol)
+    return pa.Table.from_arrays([*_longs(ctx[where], key, parent, n[often]), pa.array(symbol == END)],
+                                names=["ctx", "key", "parent", "n", "ends"])
+
+
+def count_level(texts: DataFrame, k: int, contexts, parents, least: int, buckets: int = 1, chunk: int = _CHUNK) -> DataFrame:
+    """(ctx, key, parent, n, ends) of the symbols seen ``least`` times or more after contexts of k symbols: the keys of the
+    context and of its parent with the symbol, whether that is an end. ``contexts`` has the contexts' broadcast filter and
+    ``parents`` that of the parents' explicit symbols; each of the ``buckets`` is merged as one group, so their number
+    follows the corpus."""
     def run(batches):
         for starts, s in _gathered(batches, chunk):
             at, levels = paths(starts, s, k)
             has, ctx, key = levels[-1]
-            symbol = s[at[has]]
-            parent = symbol if k == 1 else levels[-2][2][np.searchsorted(levels[-2][0], has)]
-            ok = contexts.value(ctx) & parents.value(parent)
-            ctx, symbol, n = _counts(key[ok], ctx[ok], symbol[ok])
-            yield pa.RecordBatch.from_arrays(_longs(ctx, symbol, n), names=["ctx", "symbol", "n"])
-
-    # a task's counts are summed already: they are dealt at once, without another table of them before the shuffle
-    counts = texts.mapInArrow(run, "ctx long, symbol long, n long").repartition("ctx", "symbol")
-    return counts.groupBy("ctx", "symbol").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-
-
-def _with_keys(grams: DataFrame) -> DataFrame:
-    """``grams(ctx, symbol, n, total, suffix)`` with ``key`` and ``parent``, the keys of context and of suffix with the symbol."""
-    def run(batches):
-        for b in batches:
-            ctx, symbol = _unsigned(b.column(0)), _unsigned(b.column(1))
-            top = b.column(4).is_null().to_numpy(zero_copy_only=False)
-            parent = np.where(top, symbol, join(_unsigned(b.column(4).fill_null(0)), symbol))
-            yield pa.RecordBatch.from_arrays([*b.columns, *_longs(join(ctx, symbol), parent)], names=[*b.schema.names, "key", "parent"])
-
-    return grams.mapInArrow(run, "ctx long, symbol long, n long, total long, suffix long, key long, parent long")
+            ok = np.flatnonzero(contexts.value(ctx))
+            if k == 1:
+                suffix, parent = np.zeros(len(has), np.uint64), s[at[has]]
+            else:
+                longer = np.zeros(len(at), bool)
+                longer[has] = True
+                longer = np.flatnonzero(longer[levels[-2][0]])
+                suffix, parent = levels[-2][1][longer], levels[-2][2][longer]
+            ok = ok[parents.value(parent[ok])]
+            key, where, n = np.unique(key[ok], return_index=True, return_counts=True)
+            ctx, suffix = ctx[ok[where]], suffix[ok[where]]
+            del at, levels, has, parent, ok, where
+            yield from _packed(key, n, ctx, suffix, buckets)
+
+    def merge(table: pa.Table) -> pa.Table:
+        return _merged(table, k, least)
+
+    # a task's counts are summed already: they are dealt at once, a bucket's share of them as one row
+    return texts.mapInArrow(giving_back(run), _PACKED).groupBy("bucket").applyInArrow(
+        merge, "ctx long, key long, parent long, n long, ends boolean")
 
 
 def _grow(grams: DataFrame, candidates: DataFrame, parents: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """States (ctx, suffix, total, rest) among ``candidates(ctx, suffix, total)``, and every candidate's explicit symbols
-    (ctx, symbol, n, key, parent, p, p_parent, state) with their smoothed probabilities."""
-    known = _with_keys(grams.join(candidates, "ctx").select("ctx", "symbol", "n", "total", "suffix"))
-    known = stored(known.join(parents.select(F.col("key").alias("parent"), F.col("p").alias("p_parent")), "parent"), f"{name}-next")
+    """States (ctx, suffix, total, rest) among ``candidates(ctx, suffix, total)``, and their explicit symbols
+    (key, parent, n, ends, add, p) with the term and the smoothed probability of each."""
+    spark = grams.sparkSession
+    path = scratch_path(spark, f"{name}-next")
+    known = grams.join(parents.select(F.col("key").alias("parent"), F.col("p").alias("p_parent")), "parent")
+    known.write.parquet(path)
+    known = spark.read.schema(known.schema).parquet(path)
     n, total, p = F.col("n"), F.col("total"), F.col("p_parent")
-    sums = known.groupBy("ctx").agg(F.first("suffix").alias("suffix"), F.first("total").alias("total"), F.sum("n").alias("explicit"),
-                                    F.count(F.lit(1)).alias("classes"), F.sum(n * F.log(n / total / p)).alias("gain"),
-                                    F.sum("p_parent").alias("mass"))
+    # the sum of n log(n / total / p): a context's total is joined to its sums only
+    sums = known.groupBy("ctx").agg(F.sum("n").alias("explicit"), F.count(F.lit(1)).alias("classes"), F.sum(n * F.log(n / p)).alias("nlogn"),
+                                    F.sum("p_parent").alias("mass")).join(candidates, "ctx")
     other = F.col("total") - F.col("explicit")
-    gain = F.col("gain") + F.when(other > 0, other * F.log(other / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+    gain = F.col("nlogn") - F.col("explicit") * F.log(total)
+    gain += F.when(other > 0, other * F.log(other / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
     states = stored(sums.filter(gain >= GAIN * (F.col("classes") + 1))
                     .select("ctx", "suffix", "total", (other + F.lit(MASS)).alias("rest")), f"{name}-states")
     smooth = (n + F.col("rest") * p) / (total + F.lit(MASS))
-    explicit = known.join(states.select("ctx", "rest"), "ctx").select("ctx", "symbol", "n", "key", "parent", "rest", p, smooth.alias("p"))
+    explicit = stored(known.join(states.select("ctx", "total", "rest"), "ctx").select(
+        "key", "parent", "n", "ends", F.log10(1 + n / (F.col("rest") * p)).alias("add"), smooth.alias("p")), f"{name}-explicit")
+    delete_path(spark, path)
     return states, explicit
 
 
 class Tree:
-    """A trained tree: ``terms(key, n, add, known)``, the term of every word (known), state and explicit symbol, as a stored
-    table; the training tokens and the root's normaliser."""
+    """A trained tree: ``terms(key, n, add, known)``, the term of every word (known), state and explicit symbol, over stored
+    tables; the training tokens and the root's normaliser."""
 
     def __init__(self, terms: DataFrame, tokens: int, norm: int):
         self.terms, self.tokens, self.norm = terms, tokens, norm
@@ -256,8 +350,12 @@ def _tagged(col: str, tag: np.uint64) -> Column:
 
 def fit(texts: DataFrame, depth: int = DEPTH) -> Tree:
     """The tree of ``texts(text)``."""
-    spark = texts.sparkSession
-    share = spark.sparkContext.broadcast
+    with shuffles_deleted(texts.sparkSession):
+        return _fit(texts, depth)
+
+
+def _fit(texts: DataFrame, depth: int) -> Tree:
+    share = texts.sparkSession.sparkContext.broadcast
     begin, end = int(BEGIN.astype(np.int64)), int(END.astype(np.int64))
     seen = stored(count_symbols(texts), "symbols")
     tokens, types = seen.filter(F.col("key") != begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -270,25 +368,22 @@ def fit(texts: DataFrame, depth: int = DEPTH) -> Tree:
     parents = root.filter(F.col("n") >= few)
     for k in range(1, depth + 1):
         filters = [share(Filter(candidates.select(F.col("ctx").alias("key")))), share(Filter(parents.select("key")))]
-        grams = count_level(texts, k, *filters, few)
+        grams = count_level(texts, k, *filters, few, hashed_blocks(tokens, _BUCKET))
         states, explicit = _grow(grams, candidates, parents, f"level{k}")
-        explicit = stored(explicit, f"level{k}-explicit")
         for f in filters:
             f.destroy()
         terms = terms.unionByName(states.select(
             _tagged("ctx", _STATE).alias("key"), F.col("total").alias("n"),
             F.log10(F.col("rest") / (F.col("total") + F.lit(MASS))).alias("add"), F.lit(False).alias("known")))
-        terms = terms.unionByName(explicit.select(
-            _tagged("key", _NEXT).alias("key"), "n",
-            F.log10(1 + F.col("n") / (F.col("rest") * F.col("p_parent"))).alias("add"), F.lit(False).alias("known")))
+        terms = terms.unionByName(explicit.select(_tagged("key", _NEXT).alias("key"), "n", "add", F.lit(False).alias("known")))
         if k == depth or not states.limit(1).count():
             break
         # a longer context ends in a state: it is an explicit symbol of a state, and without its oldest symbol one too
-        longer = explicit.filter((F.col("n") >= least) & (F.col("symbol") != end))
+        longer = explicit.filter((F.col("n") >= least) & ~F.col("ends"))
         candidates = stored(longer.join(states.select(F.col("ctx").alias("parent")), "parent", "left_semi").select(
             F.col("key").alias("ctx"), F.col("parent").alias("suffix"), F.col("n").alias("total")), f"level{k}-longer")
         parents = explicit.select("key", "p")
-    return Tree(stored(terms, "terms"), tokens, norm)
+    return Tree(terms, tokens, norm)
 
 
 class Head:
@@ -341,56 +436,60 @@ def _looked_up(starts: np.ndarray, s: np.ndarray, depth: int, table: Table, rest
 def score(docs: DataFrame, tree: Tree, depth: int = DEPTH, head: int = HEAD) -> DataFrame:
     """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs(doc_id, text, learn)``."""
     spark = docs.sparkSession
-    top = Head(tree.terms, head)
-    rest = stored(tree.terms.filter(~top.inside).select("key", "add", "known"), "terms-rest")
-    shared = spark.sparkContext.broadcast((top.table, top.add, Filter(rest.select("key"))))
+    with shuffles_deleted(spark):
+        top = Head(tree.terms, head)
+        rest = tree.terms.filter(~top.inside).select("key", F.col("add").alias("term"), F.col("known").alias("is_word"))
+        shared = spark.sparkContext.broadcast((top.table, top.add, Filter(rest.select("key"))))
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "learn", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text", "learn").alias("id"))
 
-    def inside(batches):
-        table, add, _ = shared.value
+    def scan(batches):
+        """A row for every document, with its terms in the head, and one for every other key that it may have a term of."""
+        table, add, rest_ = shared.value
         for b in batches:
             for first, starts, s in symbols(b.column(2), _SCORED):
                 n = len(starts) - 1
                 total, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-                for tag, row, _, place, _ in _looked_up(starts, s, depth, table):
+                rows, others = [], []
+                for tag, row, keys, place, maybe in _looked_up(starts, s, depth, table, rest_):
                     hit = np.flatnonzero(place >= 0)
-                    row, terms = row[hit], add[place[hit]]
-                    total += np.bincount(row, terms, n)
+                    at, terms = row[hit], add[place[hit]]
+                    total += np.bincount(at, terms, n)
                     if tag == _WORD:
-                        base += np.bincount(row, terms, n)
-                        known += np.bincount(row, minlength=n)
+                        base += np.bincount(at, terms, n)
+                        known += np.bincount(at, minlength=n)
+                    rows.append(row[maybe])
+                    others.append(keys[maybe])
+                row, key = np.concatenate(rows), np.concatenate(others)
+                _, where, times = np.unique(join(row.astype(np.uint64), key), return_index=True, return_counts=True)
+                where, times = (x[np.argsort(row[where], kind="stable")] for x in (where, times))
                 part = b.slice(first, n)
+                ids = part.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+                # a document's own row has a key that no term has, another one for each copy
+                own = _longs(join(ids, np.arange(first, first + n, dtype=np.uint64)))[0]
+                none = pa.nulls(len(where), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(3), pa.array(np.diff(starts) - 1), pa.array(known), pa.array(base),
-                     pa.array(total)], names=["doc_id", "learn", "id", "n_tokens", "n_known", "base", "add"])
-
-    def outside(batches):
-        table, _, rest_ = shared.value
-        for b in batches:
-            for first, starts, s in symbols(b.column(1), _SCORED):
-                ids = b.column(0).to_numpy(zero_copy_only=False)[first:first + len(starts) - 1]
-                for _, row, keys, _, maybe in _looked_up(starts, s, depth, table, rest_):
-                    row, keys = row[maybe], keys[maybe]
-                    where, n = _counts(join(row.astype(np.uint64), keys), np.arange(len(keys)))
-                    yield pa.RecordBatch.from_arrays(_longs(ids[row[where]], keys[where], n), names=["id", "key", "n"])
-
-    scanned = docs.mapInArrow(inside, f"doc_id {kind}, learn boolean, id long, n_tokens long, n_known long, base double, add double")
-    others = docs.select("id", "text").mapInArrow(outside, "id long, key long, n long")
-    n, known = F.col("n"), F.col("known")
-    joined = others.join(rest, "key").groupBy("id").agg(
-        F.sum(F.when(known, n * F.col("add")).otherwise(0.0)).alias("__base"), F.sum(n * F.col("add")).alias("__add"),
-        F.sum(F.when(known, n).otherwise(0)).alias("__known"))
+                    [part.column(0), part.column(1), part.column(3), own, pa.nulls(n, pa.int64()), pa.array(np.diff(starts) - 1),
+                     pa.array(known), pa.array(base), pa.array(total)], names=names)
+                at = pa.array(row[where])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(at) for c in (0, 1, 3)), *_longs(key[where], times), none, none,
+                     *[pa.nulls(len(where), pa.float64())] * 2], names=names)
+
+    names = ["doc_id", "learn", "id", "key", "n", "tokens", "known", "base", "add"]
+    scanned = docs.mapInArrow(giving_back(scan), f"doc_id {kind}, learn boolean, id long, key long, n long, tokens long, known long, "
+                                                 "base double, add double")
+    n, term, word = F.col("n"), F.col("term"), F.col("is_word")
+    found = F.when(n.isNotNull(), n * term)
     # rows that repeat share an id, and each has sent its occurrences
-    copies = scanned.groupBy("id", "doc_id", "learn").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "add")],
-                                                          F.count(F.lit(1)).alias("copies"))
-    whole = copies.join(joined, "id", "left")
+    whole = scanned.join(rest, "key", "left").groupBy("id", "doc_id", "learn").agg(
+        F.count("tokens").alias("copies"), F.max("tokens").alias("n_tokens"),
+        F.sum(F.coalesce("known", F.when(word, n), F.lit(0))).alias("n_known"),
+        F.sum(F.coalesce("base", F.when(word, found), F.lit(0.0))).alias("base"),
+        F.sum(F.coalesce("add", found, F.lit(0.0))).alias("add"))
     lost = F.col("n_tokens") * F.lit(float(np.log10(tree.norm)))
-    zero = F.lit(0.0)
     out = whole.select(
-        "doc_id", "learn", "n_tokens", (F.col("n_known") + F.coalesce(F.expr("__known div copies"), F.lit(0))).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("__base") / F.col("copies"), zero) - lost).alias("base_score"),
-        (F.col("add") + F.coalesce(F.col("__add") / F.col("copies"), zero) - lost).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        "doc_id", "learn", "n_tokens", F.expr("n_known div copies").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("copies") - lost).alias("base_score"), (F.col("add") / F.col("copies") - lost).alias("score"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return out.drop("copy")

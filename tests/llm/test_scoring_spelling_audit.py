@@ -1,19 +1,22 @@
 """Operators 11 to 13 against brute force."""
 
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from scripts.check_oracle import rows as table_rows
 
-from markspark.llm import filter_audit, fm_index, queries, spelling, suffix_tree
+from markspark.llm import common, filter_audit, fm_index, queries, spelling, suffix_tree
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,6 +153,56 @@ def test_table_and_filter_find_all_keys(spark):
     assert f(keys).all() and f(other).mean() < 0.01
 
 
+@pytest.mark.parametrize("k, buckets", [(1, 1), (2, 7)])
+def test_packed_counts_are_small_and_merge_to_the_exact_counts(k, buckets):
+    rng = np.random.default_rng(5)
+    words = np.append(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), suffix_tree.END)
+    want, rows, entries = Counter(), [], 0
+    for _ in range(5):
+        ctx, symbol = (words[(len(words) * rng.random(40_000) ** 3).astype(int)] for _ in range(2))
+        symbol[::50] = suffix_tree.END
+        suffix = suffix_tree.mix(ctx)
+        want.update(zip(ctx.tolist(), symbol.tolist(), strict=True))
+        key, where, n = np.unique(suffix_tree.join(ctx, symbol), return_index=True, return_counts=True)
+        assert (suffix_tree.last(ctx[where], key) == symbol[where]).all()
+        entries += len(key)
+        rows += suffix_tree._packed(key, n, ctx[where], suffix[where], buckets)
+    packed = pa.Table.from_batches(rows)
+    if k == 1:  # by far the largest level; before, an entry's row held context, symbol and count: 18 bytes of each were shuffled
+        size = sum(len(pa.compress(v.as_py(), "lz4", asbytes=True)) for c in packed.column_names[1:-1] for v in packed.column(c))
+        assert size < 14 * entries
+    got = {}
+    for b in range(buckets):
+        out = suffix_tree._merged(packed.filter(pc.equal(packed.column("bucket"), b)), k, 2).to_pydict()
+        for c, key, parent, n, ends in zip(*out.values(), strict=True):
+            c, key, parent = (np.array([x]).view(np.uint64) for x in (c, key, parent))
+            x = suffix_tree.last(c, key)
+            assert parent == (x if k == 1 else suffix_tree.join(suffix_tree.mix(c), x)) and ends == (x[0] == suffix_tree.END)
+            assert (int(c[0]), int(x[0])) not in got
+            got[int(c[0]), int(x[0])] = n
+    assert got == {g: n for g, n in want.items() if n >= 2}
+
+
+def test_training_and_look_ups_leave_no_shuffle_and_no_passing_table(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+    docs = _documents(spark, _texts()).withColumn("learn", F.lit(True))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files, tables = spark.conf.get(setting), shuffled(), len(common._WRITTEN)
+    tree = suffix_tree.fit(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    suffix_tree.score(docs, tree)
+    assert spark.conf.get(setting) == before
+    for _ in range(100):  # Spark deletes them on the side
+        if not shuffled() - files:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - files
+    passing = [p for _, p in common._WRITTEN[tables:] if "-next-" in p]
+    assert passing and not any(os.path.exists(p.removeprefix("file:")) for p in passing)
+
+
 def test_op11_query_on_held_out_documents(spark):
     out = queries.queries()["op11_lm_score"](spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
