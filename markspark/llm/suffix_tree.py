@@ -59,8 +59,8 @@ GAIN = 2.0
 MASS = 16.0
 #: Keys in the broadcast table (20 bytes each).
 HEAD = 1 << 21
-#: Bits of each filter; a fuller filter lets more through to the exact joins.
-FILTER_BITS = 26
+#: Bits of each filter, doubled up to so many until a key has KEY_BITS; a fuller filter lets more through to the exact joins.
+FILTER_BITS, FILTER_MOST, KEY_BITS = 26, 28, 12
 #: Symbols that a task counts, and scores, at a time.
 _CHUNK, _SCORED = 1 << 21, 1 << 17
 #: Training tokens for which one group of counts is merged.
@@ -128,16 +128,19 @@ def paths(starts: np.ndarray, s: np.ndarray, depth: int):
 class Filter:
     """Bloom filter of 64-bit keys with two bits a key, made by a distributed aggregation."""
 
-    def __init__(self, keys: DataFrame, bits: int = FILTER_BITS):
+    def __init__(self, keys: DataFrame, bits: int | None = None, n: int | None = None):
+        """``bits``: of the filter, or else as ``n`` keys need (counted if not given)."""
+        bits = bits or self.bits_for(keys.count() if n is None else n)
         self.mask = np.uint64((1 << bits) - 1)
-        part = min(1 << bits, 1 << 19) // 64  # words of a part: each is merged on its own
+        mask, part = self.mask, min(1 << bits, 1 << 19) // 64  # words of a part: each is merged on its own
 
         def run(batches):
-            set_ = np.zeros(1 << bits, bool)
+            words = np.zeros(1 << bits - 6, np.uint64)
             for b in batches:
                 for by in (5, 33):
-                    set_[_unsigned(b.column(0)) >> np.uint64(by) & self.mask] = True
-            words = np.packbits(set_, bitorder="little").view(np.uint64).reshape(-1, part)
+                    at = _unsigned(b.column(0)) >> np.uint64(by) & mask
+                    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            words = words.reshape(-1, part)
             some = np.flatnonzero(words.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([words[i].tobytes() for i in some], pa.binary())],
                                              names=["part", "words"])
@@ -152,6 +155,10 @@ class Filter:
         for i, words in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
             self.words[i * part:(i + 1) * part] = np.frombuffer(words, np.uint64)
 
+    @staticmethod
+    def bits_for(n: int) -> int:
+        return min(max(FILTER_BITS, (KEY_BITS * n).bit_length()), FILTER_MOST)
+
     def _bit(self, keys: np.ndarray, by: int) -> np.ndarray:
         b = keys >> np.uint64(by) & self.mask
         return (self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -399,6 +406,8 @@ class Head:
             if held > size:
                 break
             least = r.b
+        #: How many keys are outside.
+        self.left = sum(r.n for r in counts) - sum(r.n for r in counts if least is not None and r.b >= least)
         self.inside = bin_ >= least if least is not None else F.lit(False)
         found = terms.filter(self.inside).select("key", "add").toArrow()
         key = found.column(0).to_numpy().view(np.uint64)
@@ -439,7 +448,7 @@ def score(docs: DataFrame, tree: Tree, depth: int = DEPTH, head: int = HEAD) ->
     with shuffles_deleted(spark):
         top = Head(tree.terms, head)
         rest = tree.terms.filter(~top.inside).select("key", F.col("add").alias("term"), F.col("known").alias("is_word"))
-        shared = spark.sparkContext.broadcast((top.table, top.add, Filter(rest.select("key"))))
+        shared = spark.sparkContext.broadcast((top.table, top.add, Filter(rest.select("key"), n=top.left)))
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "learn", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text", "learn").alias("id"))
 

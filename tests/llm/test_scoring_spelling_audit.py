@@ -153,6 +153,14 @@ def test_table_and_filter_find_all_keys(spark):
     assert f(keys).all() and f(other).mean() < 0.01
 
 
+def test_filter_grows_with_its_keys():
+    """One size for any number of keys let one in seven of all other keys through beside 16 million."""
+    assert suffix_tree.Filter.bits_for(0) == suffix_tree.Filter.bits_for(4_000_000) == suffix_tree.FILTER_BITS
+    for n in (6_000_000, 16_000_000):
+        assert (2 * n / 2 ** suffix_tree.Filter.bits_for(n)) ** 2 < 0.03
+    assert suffix_tree.Filter.bits_for(10 ** 12) == suffix_tree.FILTER_MOST
+
+
 @pytest.mark.parametrize("k, buckets", [(1, 1), (2, 7)])
 def test_packed_counts_are_small_and_merge_to_the_exact_counts(k, buckets):
     rng = np.random.default_rng(5)
