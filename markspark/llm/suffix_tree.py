@@ -40,6 +40,7 @@ unknown symbol, so every score is 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, inf
 
 import numpy as np
@@ -47,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import delete_path, giving_back, hashed_blocks, scratch_path, shuffles_deleted, stored
+from markspark.llm.common import delete_path, give_back, giving_back, hashed_blocks, scratch_path, shuffles_deleted, stored
 from markspark.llm.words import NOT_SPACE, mix, row_words
 
 DEPTH = 3
@@ -65,6 +66,8 @@ FILTER_BITS, FILTER_MOST, KEY_BITS = 26, 28, 12
 _CHUNK, _SCORED = 1 << 21, 1 << 17
 #: Training tokens for which one group of counts is merged.
 _BUCKET = 1 << 21
+#: Shares of the documents scored one after the other; the files of one's join are deleted before the next.
+_SHARES = 3
 
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -142,8 +145,9 @@ class Filter:
                     np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
             words = words.reshape(-1, part)
             some = np.flatnonzero(words.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([words[i].tobytes() for i in some], pa.binary())],
-                                             names=["part", "words"])
+            for at in np.split(some, range(32, len(some), 32)):  # 2 MB at a time
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([words[i].tobytes() for i in at], pa.binary())],
+                                                 names=["part", "words"])
 
         def merge(table: pa.Table) -> pa.Table:
             words = np.bitwise_or.reduce([np.frombuffer(w.as_py(), np.uint64) for w in table.column("words")])
@@ -312,7 +316,9 @@ def count_level(texts: DataFrame, k: int, contexts, parents, least: int, buckets
             yield from _packed(key, n, ctx, suffix, buckets)
 
     def merge(table: pa.Table) -> pa.Table:
-        return _merged(table, k, least)
+        out = _merged(table, k, least)
+        give_back()
+        return out
 
     # a task's counts are summed already: they are dealt at once, a bucket's share of them as one row
     return texts.mapInArrow(giving_back(run), _PACKED).groupBy("bucket").applyInArrow(
@@ -486,16 +492,19 @@ def score(docs: DataFrame, tree: Tree, depth: int = DEPTH, head: int = HEAD) ->
                      *[pa.nulls(len(where), pa.float64())] * 2], names=names)
 
     names = ["doc_id", "learn", "id", "key", "n", "tokens", "known", "base", "add"]
-    scanned = docs.mapInArrow(giving_back(scan), f"doc_id {kind}, learn boolean, id long, key long, n long, tokens long, known long, "
-                                                 "base double, add double")
+    columns = f"doc_id {kind}, learn boolean, id long, key long, n long, tokens long, known long, base double, add double"
     n, term, word = F.col("n"), F.col("term"), F.col("is_word")
     found = F.when(n.isNotNull(), n * term)
-    # rows that repeat share an id, and each has sent its occurrences
-    whole = scanned.join(rest, "key", "left").groupBy("id", "doc_id", "learn").agg(
-        F.count("tokens").alias("copies"), F.max("tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", F.when(word, n), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base", F.when(word, found), F.lit(0.0))).alias("base"),
-        F.sum(F.coalesce("add", found, F.lit(0.0))).alias("add"))
+    parts = []
+    with shuffles_deleted(spark):
+        for share in range(_SHARES):  # rows that repeat share an id, and so are in one share, and each has sent its occurrences
+            scanned = docs.filter(F.pmod("id", F.lit(_SHARES)) == share).mapInArrow(giving_back(scan), columns)
+            parts.append(stored(scanned.join(rest, "key", "left").groupBy("id", "doc_id", "learn").agg(
+                F.count("tokens").alias("copies"), F.max("tokens").alias("n_tokens"),
+                F.sum(F.coalesce("known", F.when(word, n), F.lit(0))).alias("n_known"),
+                F.sum(F.coalesce("base", F.when(word, found), F.lit(0.0))).alias("base"),
+                F.sum(F.coalesce("add", found, F.lit(0.0))).alias("add")), "scored"))
+    whole = reduce(DataFrame.unionByName, parts)
     lost = F.col("n_tokens") * F.lit(float(np.log10(tree.norm)))
     out = whole.select(
         "doc_id", "learn", "n_tokens", F.expr("n_known div copies").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"),
