@@ -504,6 +504,7 @@ def score(docs: DataFrame, tree: Tree, depth: int = DEPTH, head: int = HEAD) ->
                 F.sum(F.coalesce("known", F.when(word, n), F.lit(0))).alias("n_known"),
                 F.sum(F.coalesce("base", F.when(word, found), F.lit(0.0))).alias("base"),
                 F.sum(F.coalesce("add", found, F.lit(0.0))).alias("add")), "scored"))
+    shared.destroy()  # the parts are stored: workers need not hold the table and the filter any longer
     whole = reduce(DataFrame.unionByName, parts)
     lost = F.col("n_tokens") * F.lit(float(np.log10(tree.norm)))
     out = whole.select(
